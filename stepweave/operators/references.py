@@ -13,7 +13,7 @@ verdicts are united and bring back the orphaned rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +26,18 @@ MAX_HEAVY = 1024
 
 
 def references(df: DataFrame, table: str, ref_id: str, time: str, fields: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Long form of one referring table. fields: name -> (kind of target, array of keys); null keys are no references."""
-
-    def entries(name: str, kind: str, keys: Column) -> Column:
-        made = F.transform(keys, lambda k, i: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("ref_field"), i.cast("int").alias("ref_pos"), k.alias("key")))
-        return F.coalesce(made, F.array().cast("array<struct<kind:string,ref_field:string,ref_pos:int,key:string>>"))
-
-    rows = [entries(name, kind, keys) for name, (kind, keys) in fields.items()]
-    flat = df.select(F.lit(table).alias("ref_table"), F.col(ref_id).cast("long").alias("ref_id"), F.col(time).cast("timestamp_ntz").alias("t"), F.explode(F.filter(F.concat(*rows), lambda r: r["key"].isNotNull())).alias("r"))
-    return flat.select("ref_table", "r.ref_field", "ref_id", "r.ref_pos", "r.kind", "r.key", "t", F.date_trunc("month", "t").cast("timestamp_ntz").alias("month"))
+    """Long form of one referring table. fields: name -> (kind of target, key as written, or an array of keys); null keys are no references."""
+    who = [F.lit(table).alias("ref_table"), F.col(ref_id).cast("long").alias("ref_id"), F.col(time).cast("timestamp_ntz").alias("t")]
+    lists = {n for n, (_, c) in fields.items() if df.select(c.alias("c")).schema["c"].dataType.typeName() == "array"}
+    parts = [df.select(*who, F.lit(fields[n][0]).alias("kind"), F.lit(n).alias("ref_field"), F.posexplode(fields[n][1]).alias("ref_pos", "raw")) for n in fields if n in lists]
+    single = [F.struct(F.lit(k).alias("kind"), F.lit(n).alias("ref_field"), F.lit(0).alias("ref_pos"), c.alias("raw")) for n, (k, c) in fields.items() if n not in lists]
+    if single:
+        parts.append(df.select(*who, F.explode(F.array(*single)).alias("r")).select("ref_table", "ref_id", "t", "r.*"))
+    flat = parts[0]
+    for p in parts[1:]:
+        flat = flat.unionByName(p)
+    month = F.year("t") * 12 + F.month("t") - 1  # months since year 0: cheap to compute and to group by
+    return flat.filter(F.col("raw").isNotNull()).select("ref_table", "ref_field", "ref_id", "ref_pos", "kind", "raw", "t", month.alias("month"))
 
 
 def lifetimes(df: DataFrame, kind: str, key: Column, start: str = "registered_at", end: str = "deleted_at") -> DataFrame:
@@ -42,71 +45,72 @@ def lifetimes(df: DataFrame, kind: str, key: Column, start: str = "registered_at
     return df.select(F.lit(kind).alias("kind"), key.alias("key"), F.col(start).cast("timestamp_ntz").alias("start"), F.col(end).cast("timestamp_ntz").alias("end")).filter(F.col("key").isNotNull() & F.col("start").isNotNull())
 
 
-@dataclass(frozen=True)
-class _Split:
-    heavy: DataFrame
-    found: bool
-
-
-def _heavy_keys(groups: DataFrame, heavy_rows: int) -> _Split:
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    least = max(heavy_rows, total // MAX_HEAVY)
-    keys = groups.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") > least).select("kind", "key")
-    rows = keys.collect()  # fewer than MAX_HEAVY by the choice of `least`
-    spark = groups.sparkSession
-    return _Split(spark.createDataFrame([tuple(r) for r in rows], "kind string, key string"), bool(rows))
+def _heavy(groups: DataFrame, heavy_rows: int) -> DataFrame | None:
+    """Heavy keys, as written: fewer than MAX_HEAVY rows by the choice of the threshold."""
+    sums = groups.groupBy("kind", "raw").agg(F.sum("n").alias("n"))
+    top = sums.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
+    least = max(heavy_rows, (top.total or 0) // MAX_HEAVY)
+    if (top.most or 0) <= least:
+        return None
+    rows = sums.filter(F.col("n") > least).select("kind", "raw").collect()
+    return groups.sparkSession.createDataFrame([tuple(r) for r in rows], "kind string, raw string")
 
 
 def _verdicts(groups: DataFrame, lives: DataFrame) -> DataFrame:
-    """Adds state: ``ok``, ``orphan`` or ``mixed`` to the groups."""
+    """The groups whose references are not all fine, with state ``orphan`` or ``mixed``."""
     g, l = groups.alias("g"), lives.alias("l")
     joined = g.join(l, ["kind", "key"], "left")
     open_end = F.col("l.end").isNull()
     spans = (F.col("l.start") <= F.col("g.first_t")) & (open_end | (F.col("g.last_t") < F.col("l.end")))
     meets = (F.col("l.start") <= F.col("g.last_t")) & (open_end | (F.col("g.first_t") < F.col("l.end")))
-    by = joined.groupBy("kind", "key", "month").agg(F.max(F.coalesce(spans, F.lit(False))).alias("spans"), F.max(F.coalesce(meets, F.lit(False))).alias("meets"))
-    return by.select("kind", "key", "month", F.when(F.col("spans"), "ok").when(F.col("meets"), "mixed").otherwise("orphan").alias("state"))
+    by = joined.groupBy("kind", "key", "raw", "month").agg(F.max(F.coalesce(spans, F.lit(False))).alias("spans"), F.max(F.coalesce(meets, F.lit(False))).alias("meets"))
+    return by.filter(~F.col("spans")).select("kind", "key", "raw", "month", F.when(F.col("meets"), "mixed").otherwise("orphan").alias("state"))
+
+
+def _orphan_rows(refs: DataFrame, bad: DataFrame, lives: DataFrame) -> DataFrame:
+    """References in bad groups; those of mixed groups only if no lifetime holds their own time."""
+    r, m, l = refs.alias("r"), bad.alias("m"), lives.alias("l")
+    on = (F.col("r.kind") == F.col("m.kind")) & (F.col("r.raw") == F.col("m.raw")) & F.col("r.month").eqNullSafe(F.col("m.month"))
+    hit = r.join(m, on).select("r.*", "m.key", "m.state").alias("h")
+    holds = (F.col("h.kind") == F.col("l.kind")) & (F.col("h.key") == F.col("l.key")) & (F.col("h.state") == "mixed") & (F.col("l.start") <= F.col("h.t")) & (F.col("l.end").isNull() | (F.col("h.t") < F.col("l.end")))
+    return hit.join(l, holds, "left_anti")
 
 
-def orphan_references(refs: DataFrame, lives: DataFrame, *, heavy_rows: int = 100_000) -> DataFrame:
+def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Callable[[Column], Column]] | None = None, *, heavy_rows: int = 100_000) -> DataFrame:
     """The references without a living target: ref_table, ref_field, ref_id, ref_pos, key, t, month; each once.
 
-    A null time lies in no lifetime, so such a reference is an orphan with a
-    null month. Repeated rows count once per (ref_table, ref_field, ref_id,
-    ref_pos). Repeated lifetimes do no harm; empty inputs give an empty result
-    or, without any target, all references.
+    ``normal`` brings keys of a kind into normal form, once per group rather
+    than per row; a null normal form is no reference. A null time lies in no
+    lifetime, so such a reference is an orphan with a null month. Repeated rows
+    count once per (ref_table, ref_field, ref_id, ref_pos). Repeated lifetimes
+    do no harm; empty inputs give an empty result or, without any target, all
+    references.
     """
     lives = lives.distinct()
-    groups = cut(refs.groupBy("kind", "key", "month").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")))
-    split = _heavy_keys(groups, heavy_rows)
-    if split.found:
-        heavy = F.broadcast(split.heavy)
-        heavy_lives = broadcast_if_small(lives.join(heavy, ["kind", "key"], "left_semi"))
-        state = _verdicts(groups.join(heavy, ["kind", "key"], "left_semi"), heavy_lives).unionByName(_verdicts(groups.join(heavy, ["kind", "key"], "left_anti"), lives))
+    key = F.col("raw")
+    for kind, f in (normal or {}).items():
+        key = F.when(F.col("kind") == kind, f(F.col("raw"))).otherwise(key)
+    seen = refs.groupBy("kind", "raw", "month").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    groups = cut(seen.withColumn("key", key).filter(F.col("key").isNotNull()))
+    heavy = _heavy(groups, heavy_rows)
+    if heavy is None:
+        bad = cut(_verdicts(groups, lives))
+        found = _orphan_rows(refs, broadcast_if_small(bad), lives)
     else:
-        state = _verdicts(groups, lives)
-    bad = cut(state.filter(F.col("state") != "ok"))
-
-    def rows_of(part: DataFrame, marks: DataFrame, live: DataFrame) -> DataFrame:
-        r, m = part.alias("r"), marks.alias("m")
-        on = (F.col("r.kind") == F.col("m.kind")) & (F.col("r.key") == F.col("m.key")) & F.col("r.month").eqNullSafe(F.col("m.month"))
-        hit = r.join(m, on).select("r.*", "m.state")
-        l = live.alias("l")
-        holds = (F.col("h.kind") == F.col("l.kind")) & (F.col("h.key") == F.col("l.key")) & (F.col("h.state") == "mixed") & (F.col("l.start") <= F.col("h.t")) & (F.col("l.end").isNull() | (F.col("h.t") < F.col("l.end")))
-        return hit.alias("h").join(l, holds, "left_anti")
-
-    if split.found:
-        heavy = F.broadcast(split.heavy)
-        found = rows_of(refs.join(heavy, ["kind", "key"], "left_semi"), broadcast_if_small(bad.join(heavy, ["kind", "key"], "left_semi")), heavy_lives)
-        found = found.unionByName(rows_of(refs.join(heavy, ["kind", "key"], "left_anti"), bad.join(heavy, ["kind", "key"], "left_anti"), lives))
-    else:
-        found = rows_of(refs, broadcast_if_small(bad), lives)
+        h = F.broadcast(heavy)
+        hot, cold = groups.join(h, ["kind", "raw"], "left_semi"), groups.join(h, ["kind", "raw"], "left_anti")
+        hot_lives = broadcast_if_small(lives.join(broadcast_if_small(hot.select("kind", "key").distinct()), ["kind", "key"], "left_semi"))
+        bad = cut(_verdicts(hot, hot_lives).unionByName(_verdicts(cold, lives)))
+        hot_rows = _orphan_rows(refs.join(h, ["kind", "raw"], "left_semi"), broadcast_if_small(bad.join(h, ["kind", "raw"], "left_semi")), hot_lives)
+        cold_rows = _orphan_rows(refs.join(h, ["kind", "raw"], "left_anti"), broadcast_if_small(bad.join(h, ["kind", "raw"], "left_anti")), lives)
+        found = hot_rows.unionByName(cold_rows)
     return found.dropDuplicates(["ref_table", "ref_field", "ref_id", "ref_pos"]).select("ref_table", "ref_field", "ref_id", "ref_pos", "key", "t", "month")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphans per referring table, field and month."""
-    return orphans.groupBy("ref_table", "ref_field", "month").agg(F.count(F.lit(1)).alias("orphans"), F.count_distinct("key").alias("missing_keys"))
+    """Orphans per referring table, field and month (``2025-03``)."""
+    text = F.when(F.col("month").isNotNull(), F.format_string("%04d-%02d", F.floor(F.col("month") / 12).cast("int"), F.col("month") % 12 + 1))
+    return orphans.groupBy("ref_table", "ref_field", text.alias("month")).agg(F.count(F.lit(1)).alias("orphans"), F.count_distinct("key").alias("missing_keys"))
 
 
 def _episode_key(run: Column, episode: Column) -> Column:
@@ -114,11 +118,15 @@ def _episode_key(run: Column, episode: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("r:"), run), F.lit("null")), F.lit("\n"), episode.cast("string"))
 
 
+#: Paths are compared in normal form.
+NORMAL = {"shard": normal_path, "run": normal_path}
+
+
 def experiment_references(activation_index: DataFrame, merge_configs: DataFrame) -> DataFrame:
-    """All references of the two referring tables. episode_num null or -1 and blank paths are none."""
+    """All references of the two referring tables. episode_num null or -1 is none."""
     ep = F.when(F.col("episode_num") != -1, _episode_key(F.col("run_id"), F.col("episode_num")))
-    a = references(activation_index, "activation_index", "index_id", "logged_at", {"shard_path": ("shard", F.array(normal_path(F.col("shard_path")))), "episode_num": ("episode", F.array(ep))})
-    m = references(merge_configs, "merge_configs", "merge_id", "created_at", {"input_dirs": ("run", F.transform("input_dirs", normal_path))})
+    a = references(activation_index, "activation_index", "index_id", "logged_at", {"shard_path": ("shard", F.col("shard_path")), "episode_num": ("episode", ep)})
+    m = references(merge_configs, "merge_configs", "merge_id", "created_at", {"input_dirs": ("run", F.col("input_dirs"))})
     return a.unionByName(m)
 
 
@@ -127,3 +135,7 @@ def experiment_lifetimes(shard_registry: DataFrame, prompt_records: DataFrame, r
     e = lifetimes(prompt_records.filter(F.col("run_id").isNotNull() & F.col("episode_num").isNotNull()), "episode", _episode_key(F.col("run_id"), F.col("episode_num")))
     r = lifetimes(run_registry, "run", normal_path(F.col("run_dir")))
     return s.unionByName(e).unionByName(r)
+
+
+def experiment_orphans(activation_index: DataFrame, merge_configs: DataFrame, shard_registry: DataFrame, prompt_records: DataFrame, run_registry: DataFrame, **kw) -> DataFrame:
+    return orphan_references(experiment_references(activation_index, merge_configs), experiment_lifetimes(shard_registry, prompt_records, run_registry), NORMAL, **kw)

@@ -22,9 +22,8 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    refs = references.experiment_references(table(spark, d, "activation_index"), table(spark, d, "merge_configs"))
-    lives = references.experiment_lifetimes(table(spark, d, "shard_registry"), table(spark, d, "prompt_records"), table(spark, d, "run_registry"))
-    return references.orphan_references(refs, lives)
+    names = ("activation_index", "merge_configs", "shard_registry", "prompt_records", "run_registry")
+    return references.experiment_orphans(*[table(spark, d, n) for n in names])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,8 +31,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    r = references.orphan_report(_orphans(spark, d))
-    return r.select("ref_table", "ref_field", F.date_format("month", "yyyy-MM").alias("month"), "orphans", "missing_keys")
+    return references.orphan_report(_orphans(spark, d))
 
 
 def _differences(spark: SparkSession, d: str) -> DataFrame:
