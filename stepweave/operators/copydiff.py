@@ -128,9 +128,9 @@ def unequal_cells(left: DataFrame, right: DataFrame, n_fields: int) -> DataFrame
 
 
 def default_buckets(rows: int) -> int:
-    """About 32 rows a bucket, between 2**10 and 2**18: the matrix, and what is broadcast, stay bounded."""
+    """About 4 rows a bucket, between 2**10 and 2**20: the matrix, and what is broadcast of it (some 13 MB), stay bounded."""
     b = 1 << 10
-    while b < min(rows // 32, 1 << 18):
+    while b < min(rows // 4, 1 << 20):
         b <<= 1
     return b
 
