@@ -1,10 +1,11 @@
 """Top N items of every group.
 
-Method: a hot-cold split. Exact counts of each group's candidates separate a
-few heavy groups from the rest. Light groups go through one ordinary window,
-in which Spark already drops hopeless rows before the shuffle. Heavy groups are
-salted and range-sorted by (group, salt), each salt keeps its own top N, and a
-last window over at most N rows a salt decides. Both results are united.
+Method: a hot-cold split. Exact counts of each group's rows separate a few
+heavy groups from the rest. Light groups are brought together by one shuffle,
+in which duplicates are merged and an ordinary window keeps the best. Heavy
+groups are merged with map-side combine, salted and range-sorted by (group,
+salt); each salt keeps its own top N, and a last window over at most N rows a
+salt decides. Both results are united.
 """
 
 from __future__ import annotations
@@ -16,43 +17,53 @@ from pyspark.sql import functions as F
 
 from stepweave.runtime import cut
 
-#: A heavy group holds more than 1 / MAX_HEAVY of all candidates, so there are fewer than MAX_HEAVY of them.
+#: A heavy group holds more than 1 / MAX_HEAVY of all rows, so there are fewer than MAX_HEAVY of them.
 MAX_HEAVY = 4096
+HEAVY_ROWS = 50_000
 SALTS = 64
 
 
-def top_n(candidates: DataFrame, group: Sequence[str], value: str, item: str, n: int, *, heavy_rows: int = 200_000, salts: int = SALTS) -> DataFrame:
-    """The n best items of each group with ``item_rank`` from 1: higher values first, of equal ones the smaller item.
+def _hot_groups(counts: DataFrame, heavy_rows: int) -> DataFrame | None:
+    """counts: the group columns and ``n``. None if no group is heavy."""
+    hot = cut(counts.filter(F.col("n") > heavy_rows))
+    if hot.isEmpty():
+        return None
+    total = counts.agg(F.sum("n")).first()[0]
+    return hot.filter(F.col("n") > max(heavy_rows, total // MAX_HEAVY))
+
+
+def top_n(rows: DataFrame, group: Sequence[str], item: str, n: int, value: Column, *, keep: Column | None = None, counts: DataFrame | None = None, heavy_rows: int = HEAVY_ROWS, salts: int = SALTS) -> DataFrame:
+    """The n best items of each group with ``value`` and ``item_rank`` from 1: higher values first, of equal ones the smaller item.
 
-    ``candidates`` has one row per (group, item). Null group columns form
-    groups of their own. Fewer rows come out for smaller groups, none for an
-    empty table.
+    ``value`` is an aggregate over an item's rows, ``keep`` a condition on it.
+    ``counts`` may bring the rows per group (group columns and ``n``) if they
+    are known more cheaply. Null group columns form groups of their own. Fewer
+    rows come out for smaller groups, none for an empty table.
     """
     group = list(group)
-    c = cut(candidates.select(*group, value, item))
-    counts = c.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    total = c.count()
-    least = max(heavy_rows, total // MAX_HEAVY)
-    order = [F.col(value).desc(), F.col(item).asc()]
+    order = [F.col("value").desc(), F.col(item).asc()]
+
+    def merged(df: DataFrame) -> DataFrame:
+        m = df.groupBy(*group, item).agg(value.alias("value"))
+        return m if keep is None else m.filter(keep)
 
     def ranked(df: DataFrame, *more: str) -> DataFrame:
         w = Window.partitionBy(*group, *more).orderBy(*order)
         return df.withColumn("item_rank", F.row_number().over(w)).filter(F.col("item_rank") <= n)
 
-    if total <= least:
-        return ranked(c)
-    hot = cut(counts.filter(F.col("__n") > least))
-    if hot.isEmpty():
-        return ranked(c)
+    def light(df: DataFrame) -> DataFrame:  # partitioned by group once, for the merge and for the window
+        return ranked(merged(df.repartition(*group)))
+
+    hot = _hot_groups(counts if counts is not None else rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n")), heavy_rows)
+    if hot is None:
+        return light(rows)
     h = F.broadcast(hot.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]))  # fewer than MAX_HEAVY rows
-    on = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
-    light = ranked(c.join(h, cond, "left_anti"))
-    salted = c.join(h, cond, "left_semi").withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
+    cond = F.lit(True)
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    salted = merged(rows.join(h, cond, "left_semi")).withColumn("__salt", F.pmod(F.xxhash64(item), F.lit(salts)).cast("int"))
     first = ranked(salted.repartitionByRange(*group, "__salt"), "__salt").drop("item_rank", "__salt")
-    return light.unionByName(ranked(first))
+    return light(rows.join(h, cond, "left_anti")).unionByName(ranked(first))
 
 
 def _counts(value: Column, item: Column) -> Column:
@@ -60,19 +71,32 @@ def _counts(value: Column, item: Column) -> Column:
     return (v > 0) & (v < float("inf")) & ~F.isnan(v) & (item >= 0)
 
 
-def timestep_candidates(topk_rows: DataFrame) -> DataFrame:
-    """Each feature's highest value over the rows of a time step; ids and values pair by position, surplus ones are ignored."""
-    pairs = F.filter(F.arrays_zip(F.col("top_feature_ids").alias("f"), F.col("top_feature_vals").alias("v")), lambda p: _counts(p["v"], p["f"]))
-    flat = topk_rows.select("run_id", "episode_num", "step_in_episode", F.explode(pairs).alias("p"))
-    return flat.groupBy("run_id", "episode_num", "step_in_episode", F.col("p.f").alias("feature_id")).agg(F.max("p.v").alias("value"))
+STEP = ["run_id", "episode_num", "step_in_episode"]
 
 
-def cluster_candidates(score_matrix: DataFrame) -> DataFrame:
-    """Each feature's score in its row of latest scored_at (null is earliest; of ties, the greatest score, NaN above all)."""
-    s = score_matrix.select("cluster_id", "feature_id", F.struct("scored_at", "score").alias("r"))
-    s = s.filter(F.col("cluster_id").isNotNull() & (F.col("feature_id") >= 0))
-    latest = s.groupBy("cluster_id", "feature_id").agg(F.max("r").alias("r"))
-    return latest.select("cluster_id", "feature_id", F.col("r.score").alias("value")).filter(_counts(F.col("value"), F.col("feature_id")))
+def best_per_step(topk_rows: DataFrame, n: int = 5, **kw) -> DataFrame:
+    """Best features of each time step; a feature's value is its highest over the step's rows.
+
+    Ids and values pair by position, surplus ones are ignored. A row offers no
+    more than its own n best features (plus as many as it repeats): none of the
+    others can be among the n best of its step.
+    """
+    known = topk_rows.filter(F.col("run_id").isNotNull() & F.col("episode_num").isNotNull() & F.col("step_in_episode").isNotNull())
+    zipped = F.arrays_zip(F.col("top_feature_ids").alias("f"), F.col("top_feature_vals").alias("v"))
+    good = F.transform(F.filter(zipped, lambda p: _counts(p["v"], p["f"])), lambda p: F.struct((-p["v"]).alias("down"), p["f"].alias("feature_id")))
+    rows = known.select(*STEP, good.alias("good"))
+    repeats = F.size("good") - F.size(F.array_distinct(F.col("good.feature_id")))
+    best = F.slice(F.sort_array("good"), F.lit(1), F.lit(n) + repeats)
+    flat = rows.select(*STEP, F.explode(best).alias("p")).select(*STEP, "p.feature_id", (-F.col("p.down")).alias("v"))
+    # candidates, without building them: an upper bound on the rows of a step decides if it is heavy
+    counts = known.groupBy(*STEP).agg(F.sum(F.least(F.size("top_feature_ids"), F.size("top_feature_vals"), F.lit(n))).alias("n"))
+    return top_n(flat, STEP, "feature_id", n, F.max("v"), counts=counts, **kw)
+
+
+def best_per_cluster(score_matrix: DataFrame, n: int = 10, **kw) -> DataFrame:
+    """Best features of each cluster by their latest score (null scored_at is earliest; of ties, the greatest score, NaN above all)."""
+    s = score_matrix.select("cluster_id", "feature_id", F.struct("scored_at", "score").alias("r")).filter(F.col("cluster_id").isNotNull() & (F.col("feature_id") >= 0))
+    return top_n(s, ["cluster_id"], "feature_id", n, F.max("r")["score"], keep=_counts(F.col("value"), F.col("feature_id")), **kw)
 
 
 def best_features(topk_rows: DataFrame, score_matrix: DataFrame, *, per_step: int = 5, per_cluster: int = 10, **kw) -> DataFrame:
@@ -81,9 +105,6 @@ def best_features(topk_rows: DataFrame, score_matrix: DataFrame, *, per_step: in
     Only finite values above 0 and ids that are neither null nor negative count.
     Rows with a null in run_id, episode_num or step_in_episode name no time step.
     """
-    step = ["run_id", "episode_num", "step_in_episode"]
-    known = topk_rows.filter(F.col("run_id").isNotNull() & F.col("episode_num").isNotNull() & F.col("step_in_episode").isNotNull())
-    t = top_n(timestep_candidates(known), step, "value", "feature_id", per_step, **kw)
-    c = top_n(cluster_candidates(score_matrix), ["cluster_id"], "value", "feature_id", per_cluster, **kw)
     out = ["item_rank", "feature_id", F.col("value").cast("double").alias("value")]
-    return t.select(F.lit("topk_rows").alias("scored_in"), F.concat_ws("/", *step).alias("group_key"), *out).unionByName(c.select(F.lit("score_matrix").alias("scored_in"), F.col("cluster_id").alias("group_key"), *out))
+    t, c = best_per_step(topk_rows, per_step, **kw), best_per_cluster(score_matrix, per_cluster, **kw)
+    return t.select(F.lit("topk_rows").alias("scored_in"), F.concat_ws("/", *STEP).alias("group_key"), *out).unionByName(c.select(F.lit("score_matrix").alias("scored_in"), F.col("cluster_id").alias("group_key"), *out))
