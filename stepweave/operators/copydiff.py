@@ -6,10 +6,11 @@ column. Comparing the two small matrices locates the unequal buckets and the
 unequal columns; only those columns of only those buckets are read again and
 compared value by value.
 
-Numbers match within a tolerance, so they are hashed on a grid half as wide as
-the tolerance. Two numbers that differ by more than the tolerance then always
-fall into different cells: the matrix can flag a bucket that turns out equal,
-never pass one that differs.
+Numbers match within a tolerance, so they are hashed on a grid whose cells are
+as wide as the tolerance. Two numbers that differ by more than the tolerance
+then fall into different cells (down to the rounding of doubles, to which the
+comparison of values is subject as well): the matrix can flag a bucket that
+turns out equal, but does not pass one that differs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from stepweave.runtime import cut
 
-#: Above this magnitude a grid of TOLERANCE / 2 is finer than a double can hold; the number is hashed as it is.
-EXACT_ABOVE = 1e9
+#: From this many cells on, rounding to the grid would no longer be sharp; the number is hashed as it is.
+EXACT_ABOVE = 1e10
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Field:
 
 def _cell(x: Column, tolerance: float) -> Column:
     x = x.cast("double")
-    y = F.when(F.isnan(x), F.lit(float("nan"))).when(F.abs(x) < EXACT_ABOVE, F.rint(x * F.lit(2.0 / tolerance))).otherwise(x)
+    y = F.when(F.isnan(x), F.lit(float("nan"))).when(F.abs(x) < EXACT_ABOVE * tolerance, F.rint(x * F.lit(1.0 / tolerance))).otherwise(x)
     return y + F.lit(0.0)  # -0.0 becomes 0.0
 
 
