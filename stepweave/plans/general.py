@@ -49,7 +49,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_bridge, p4_found, p4_report, p5_found, p5_summary)}
 
 
-def _path(c: str) -> str:
+def sql_path(c: str) -> str:
     p = f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
     return f"""CASE WHEN {p} = '' THEN NULL ELSE (CASE WHEN starts_with({p}, '/') THEN '/' ELSE '' END) || array_to_string(list_reduce(
       list_transform(string_split({p}, '/'), lambda x: [x]),
@@ -61,13 +61,13 @@ def _path(c: str) -> str:
 _ORPHANS = f"""
 WITH dirs AS (SELECT merge_id, created_at, unnest(input_dirs) AS dir, generate_subscripts(input_dirs, 1) - 1 AS pos FROM merge_configs),
 refs AS (
-  SELECT 'activation_index' AS ref_table, 'shard_path' AS ref_field, index_id AS ref_id, 0 AS ref_pos, {_path("shard_path")} AS key, 's' AS kind, logged_at AS t FROM activation_index
+  SELECT 'activation_index' AS ref_table, 'shard_path' AS ref_field, index_id AS ref_id, 0 AS ref_pos, {sql_path("shard_path")} AS key, 's' AS kind, logged_at AS t FROM activation_index
   UNION ALL SELECT 'activation_index', 'episode_num', index_id, 0, run_id || '/' || episode_num, 'e', logged_at FROM activation_index WHERE episode_num <> -1
-  UNION ALL SELECT 'merge_configs', 'input_dirs', merge_id, pos, {_path("dir")}, 'r', created_at FROM dirs),
+  UNION ALL SELECT 'merge_configs', 'input_dirs', merge_id, pos, {sql_path("dir")}, 'r', created_at FROM dirs),
 lives AS (
-  SELECT {_path("shard_path")} AS key, 's' AS kind, registered_at, deleted_at FROM shard_registry
+  SELECT {sql_path("shard_path")} AS key, 's' AS kind, registered_at, deleted_at FROM shard_registry
   UNION ALL SELECT run_id || '/' || episode_num, 'e', registered_at, deleted_at FROM prompt_records
-  UNION ALL SELECT {_path("run_dir")}, 'r', registered_at, deleted_at FROM run_registry),
+  UNION ALL SELECT {sql_path("run_dir")}, 'r', registered_at, deleted_at FROM run_registry),
 orphans AS (
   SELECT DISTINCT ref_table, ref_field, ref_id, CAST(ref_pos AS INTEGER) AS ref_pos, key, strftime(t, '%Y-%m') AS month FROM refs
   WHERE key IS NOT NULL AND NOT EXISTS (

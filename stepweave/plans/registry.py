@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stepweave.plans import general
+from stepweave.plans import experiments, general, scores
 
-FLAGSHIP = "p5_summary"
-QUERIES = dict(general.QUERIES)
-ORACLE = dict(general.ORACLE)
+FLAGSHIP = "cluster_top_features"
+QUERIES = general.QUERIES | scores.QUERIES | experiments.QUERIES
+ORACLE = general.ORACLE | scores.ORACLE | experiments.ORACLE
