@@ -95,7 +95,7 @@ def _effective(mapping: str):
 def topk_timestep_mean(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "topk_rows")
     v = act.long_form(t, ["run_id", "episode_num", "step_in_episode"]).filter(~F.isnan("value") & (F.abs("value") < float("inf")))
-    return act.timestep_mean(t, v, ["run_id", "episode_num", "step_in_episode"]).select("run_id", "episode_num", "step_in_episode", "feature", F.round("x", 5).alias("x"))
+    return act.timestep_mean(t, v, ["run_id", "episode_num", "step_in_episode"]).select("run_id", "episode_num", "step_in_episode", "feature", F.round("x", 8).alias("x"))
 
 
 def index_range_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -373,7 +373,7 @@ ORACLE = {
     "quat_delta_velocity": _TRAJ + """, qn AS (SELECT *, sqrt(1 + q[1]**2 + q[2]**2 + q[3]**2) AS nq, sqrt(1 + p[1]**2 + p[2]**2 + p[3]**2) AS np FROM vel0 WHERE q IS NOT NULL),
       qd AS (SELECT *, (-q[1]*1 + p[1]*1 - p[2]*q[3] + p[3]*q[2]) / (nq*np) AS x, (-q[2] + p[2] + p[1]*q[3] - p[3]*q[1]) / (nq*np) AS y, (-q[3] + p[3] - p[1]*q[2] + p[2]*q[1]) / (nq*np) AS z, (1 + p[1]*q[1] + p[2]*q[2] + p[3]*q[3]) / (nq*np) AS s FROM qn)
       SELECT run_id, episode_num, step, round(""" + _W.format(n="sqrt(x*x + y*y + z*z)", s="s") + ", 4) AS angular_speed FROM qd",
-    "topk_timestep_mean": "WITH n AS (SELECT run_id, episode_num, step_in_episode, count(*) AS n FROM topk_rows GROUP BY ALL), l AS (SELECT run_id, episode_num, step_in_episode, unnest(top_feature_ids[:least(len(top_feature_ids), len(top_feature_vals))]) AS feature, unnest(top_feature_vals[:least(len(top_feature_ids), len(top_feature_vals))]) AS v FROM topk_rows) SELECT run_id, episode_num, step_in_episode, feature, round(sum(CAST(v AS DOUBLE)) / any_value(n), 5) AS x FROM l JOIN n USING (run_id, episode_num, step_in_episode) WHERE feature IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY run_id, episode_num, step_in_episode, feature",
+    "topk_timestep_mean": "WITH n AS (SELECT run_id, episode_num, step_in_episode, count(*) AS n FROM topk_rows GROUP BY ALL), l AS (SELECT run_id, episode_num, step_in_episode, unnest(top_feature_ids[:least(len(top_feature_ids), len(top_feature_vals))]) AS feature, unnest(top_feature_vals[:least(len(top_feature_ids), len(top_feature_vals))]) AS v FROM topk_rows) SELECT run_id, episode_num, step_in_episode, feature, round(sum(CAST(v AS DOUBLE)) / any_value(n), 8) AS x FROM l JOIN n USING (run_id, episode_num, step_in_episode) WHERE feature IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY run_id, episode_num, step_in_episode, feature",
     "index_range_expand": "WITH i AS (SELECT DISTINCT * FROM activation_index WHERE row_end > row_start) SELECT run_id, layer_idx, coalesce(episode_num, 0) AS episode_num, CAST(sum(row_end - row_start) AS BIGINT) AS n_rows, CAST(max(row_end - row_start - 1) AS INTEGER) AS last_token, CAST(sum((row_start + row_end - 1) * (row_end - row_start) // 2) AS BIGINT) AS row_sum FROM i GROUP BY run_id, layer_idx, coalesce(episode_num, 0)",
     "interval_contiguity": f"WITH i AS (SELECT DISTINCT {_P('shard_path')} AS path, row_start, row_end FROM activation_index) SELECT path, count(*) AS intervals, count(*) FILTER (row_start <> 0 AND NOT EXISTS (SELECT 1 FROM i b WHERE b.path = i.path AND b.row_end = i.row_start)) AS breaks, max(row_end) AS num_rows FROM i WHERE path IS NOT NULL GROUP BY path",
     "forward_renumber": "WITH f AS (SELECT run_id, global_forward_idx, min((coalesce(shard_path, ''), row_start)) AS first FROM activation_index WHERE global_forward_idx > 0 GROUP BY ALL) SELECT run_id, global_forward_idx, row_number() OVER (ORDER BY run_id, first, global_forward_idx) AS new_forward_idx FROM f",
@@ -414,4 +414,24 @@ ORACLE = {
     "violations_topk": _counted(con.TOPK, "topk_rows", _SQL_RULES),
     "violations_replay": _counted(con.REPLAY, "replay_reference", _SQL_RULES),
 }
+
+#: Whole numbers that may be missing; queries and SQL show -1 instead, since engines render missing integers differently.
+_MISSING = {
+    "release_trigger": ["trigger_step", "t_grasp", "t_stable_grasp", "t_lift"],
+    "detach_tracker": ["t_detach", "t_detach_confirmed"],
+    "pair_quota": ["met_at"],
+    "action_divergence": ["first_changed_step"],
+    "prefix_compare": ["first_mismatch_step"],
+    "inventory_diff": ["expected_size", "actual_size"],
+    "zip_alignment": ["first_mismatch"],
+    "violations_keys": ["checked"],
+}
+
+
+def _filled(query, columns: list[str]):
+    return lambda spark, d: query(spark, d).fillna(-1, columns)
+
+
+QUERIES |= {n: _filled(QUERIES[n], c) for n, c in _MISSING.items()}
+ORACLE |= {n: "SELECT * REPLACE (" + ", ".join(f"coalesce({x}, -1) AS {x}" for x in c) + f") FROM ({ORACLE[n]})" for n, c in _MISSING.items()}
 ORACLE |= {f"effective_steps_{n}": f"SELECT run_id, episode_num, step, count(*) AS n_rows FROM ({q}) GROUP BY ALL" for n, q in _EFF.items()}

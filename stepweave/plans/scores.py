@@ -76,7 +76,7 @@ def window_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_table(spark: SparkSession, d: str) -> DataFrame:
-    return template_weights(spark, HALF).select("event_idx", "pos", F.round("pulse", 6).alias("pulse"), F.round("step_up", 6).alias("step_up"))
+    return template_weights(spark, HALF).select("event_idx", "pos", F.round("pulse", 6).alias("pulse"), F.coalesce(F.round("step_up", 6), F.lit(0.0)).alias("step_up"))
 
 
 def required_timesteps(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +306,7 @@ ORACLE = {
     "cluster_top_features": _top("score"),
     "window_mean_top_features": _top("window_mean", True),
     "window_shift": _ROLES + "SELECT sample, CAST(waypoint_step - 5 + shift AS INTEGER) AS window_start, CAST(shift AS INTEGER) AS window_shift, CAST(5 - shift AS INTEGER) AS event_idx FROM win",
-    "template_table": _ROLES + "SELECT CAST(event_idx AS INTEGER) AS event_idx, CAST(pos AS INTEGER) AS pos, round(pulse, 6) AS pulse, round(step_up, 6) AS step_up FROM tpl",
+    "template_table": _ROLES + "SELECT CAST(event_idx AS INTEGER) AS event_idx, CAST(pos AS INTEGER) AS pos, round(pulse, 6) AS pulse, coalesce(round(step_up, 6), 0) AS step_up FROM tpl",
     "required_timesteps": _ROLES + "SELECT n.episode, count(*) AS needed, count(t.step) AS found FROM (SELECT DISTINCT episode, step FROM wsteps) n LEFT JOIN ts t ON n.episode = t.episode AND n.step = t.step GROUP BY ALL",
     "timestep_mean": _ROLES + "SELECT episode, CAST(step AS INTEGER) AS step, feature, round(x, 6) AS x FROM tm",
     "task_mean": _ROLES + "SELECT CAST(task AS INTEGER) AS task, feature, round(task_mean, 6) AS task_mean, n_timesteps FROM taskm",
