@@ -104,11 +104,14 @@ def action_divergence(pairs: DataFrame, *, tolerance: float = 1e-6) -> DataFrame
     ``pairs`` has one row per (entity, step) with the actions a and b, null
     where a side has no such step. Means are over compared values; if nothing
     differs but the lengths do, the first changed step is the common length.
+    A step whose actions can't be compared (unequal sizes, null or non-finite
+    elements) is changed: its delta is infinite, and the mean leaves it out.
     """
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     delta = F.when(both, max_abs_delta(F.col("a"), F.col("b")))
-    total = F.when(both, F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
-    size = F.when(both, F.size("a"))
+    compared = delta < float("inf")
+    total = F.when(compared, F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
+    size = F.when(compared, F.size("a"))
     g = pairs.select("entity", "step", both.alias("both"), F.col("a").isNotNull().alias("in_a"), F.col("b").isNotNull().alias("in_b"), delta.alias("delta"), total.alias("total"), size.alias("size"))
     r = g.groupBy("entity").agg(
         F.count_if("in_a").alias("raw_steps"),

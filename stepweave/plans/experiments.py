@@ -156,10 +156,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def action_divergence(spark: SparkSession, d: str) -> DataFrame:
-    finite = lambda c: ~F.exists(c, lambda x: F.isnan(x) | x.isNull())
-    p = _pairs(spark, d)
-    p = p.filter((F.col("a_qvel").isNull() | finite("a_qvel")) & (F.col("b_qvel").isNull() | finite("b_qvel")) & (F.coalesce(F.size("a_qvel"), F.lit(9)) == 9) & (F.coalesce(F.size("b_qvel"), F.lit(9)) == 9))
-    r = ctl.action_divergence(p.select("entity", "step", F.col("a_qvel").alias("a"), F.col("b_qvel").alias("b")))
+    """Every step counts; one without a vector, in a copy that has the step, can't be compared."""
+    side = lambda p: F.when(F.col(f"{p}_here"), F.coalesce(f"{p}_qvel", F.array(F.lit(None).cast("double")))).alias(p)
+    r = ctl.action_divergence(_pairs(spark, d).select("entity", "step", side("a"), side("b")))
     return r.select("entity", "raw_steps", "condition_steps", "first_changed_step", F.round("max_abs_delta", 6).alias("max_abs_delta"), F.round("mean_abs_delta", 6).alias("mean_abs_delta"))
 
 
