@@ -11,6 +11,7 @@ white space between two Thai characters.
 from __future__ import annotations
 
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -39,21 +40,18 @@ STOPWORDS = {
     "es": "el los las y es una un del no que en por al se la".split(),
 }
 SCRIPTS = (("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("ar", r"\p{Arabic}"), ("hi", r"\p{Devanagari}"), ("el", r"\p{Greek}"), ("ru", r"\p{Cyrillic}"), ("hy", r"\p{Armenian}"), ("am", r"\p{Ethiopic}"), ("latin", r"\p{Latin}"))
-_SCRIPT_RE = [(name, regex.compile(p)) for name, p in SCRIPTS]
+_SCRIPT_RE = [(name, regex.compile(p + "+")) for name, p in SCRIPTS]
 _WORDS = regex.compile(r"\p{Latin}+")
-#: Characters that are looked at to guess the language of a text that states none; the text itself is cut whole.
-GUESS_CHARS = 4000
 
 
 def language(label: str | None, text: str) -> str | None:
-    """The language whose cascade applies; None if several or none is known."""
+    """The language whose cascade applies; None if several or none is known. Without a label, the whole text is counted."""
     code = regex.split(r"[-_]", (label or "und").strip().lower())[0]
     if code in ORDER:
         return code
     if code == "mul":
         return None
-    part = text[:GUESS_CHARS]
-    seen = {name: n for name, p in _SCRIPT_RE if (n := len(p.findall(part)))}
+    seen = {name: n for name, p in _SCRIPT_RE if (n := sum(m.end() - m.start() for m in p.finditer(text)))}
     total = sum(seen.values())
     if not total:
         return None
@@ -64,8 +62,8 @@ def language(label: str | None, text: str) -> str | None:
         return None
     if name != "latin":
         return name
-    words = [w.lower() for w in _WORDS.findall(part)]
-    score = {k: sum(w in v for w in words) for k, v in STOPWORDS.items()}
+    words = Counter(m.group().lower() for m in _WORDS.finditer(text))
+    score = {k: sum(words[w] for w in v) for k, v in STOPWORDS.items()}
     best = max(score, key=score.get)
     return best if score[best] >= 2 and score[best] > 2 * max(v for k, v in score.items() if k != best) else None
 
