@@ -10,7 +10,8 @@ Numbers match within a tolerance, so they are hashed on a grid whose cells are
 as wide as the tolerance. Two numbers that differ by more than the tolerance
 then fall into different cells (down to the rounding of doubles, to which the
 comparison of values is subject as well): the matrix can flag a bucket that
-turns out equal, but does not pass one that differs.
+turns out equal, but does not pass one that differs. Numbers too large for a
+sharp grid are hashed as they are, with a flag that keeps them apart from cells.
 """
 
 from __future__ import annotations
@@ -41,13 +42,18 @@ def _cell(x: Column, tolerance: float) -> Column:
     return y + F.lit(0.0)  # -0.0 becomes 0.0
 
 
+def _raw(x: Column, tolerance: float) -> Column:
+    """True beside a number that is hashed as it is, so that no cell's number equals it; null, which hashes skip, beside a cell."""
+    return F.when(~(F.abs(x.cast("double")) < EXACT_ABOVE * tolerance), F.lit(True))
+
+
 def canonical(field: Field, tolerance: float) -> Column:
     """The form of a value that is hashed; equal values have equal forms."""
     c = F.col(field.name)
     if field.kind == "numbers":
-        return F.transform(c, lambda x: F.struct(x.isNull().alias("z"), F.coalesce(_cell(x, tolerance), F.lit(0.0)).alias("v")))
+        return F.transform(c, lambda x: F.struct(x.isNull().alias("z"), F.coalesce(_cell(x, tolerance), F.lit(0.0)).alias("v"), _raw(x, tolerance).alias("raw")))
     if field.kind == "number":
-        return _cell(c, tolerance)
+        return F.struct(_cell(c, tolerance).alias("v"), _raw(c, tolerance).alias("raw"))
     if field.kind == "digest":
         return digest(c)
     return c
