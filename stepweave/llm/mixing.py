@@ -4,10 +4,12 @@ Method: temperature mixing. The natural token shares of the sources are raised
 to an exponent; bisection finds the exponent at which a target entropy, or the
 repetition limits, are met. With target weights w and natural shares q the
 family is w * (q / w) ** tau: tau 0 gives the weights, tau 1 the natural
-shares, and a source over its limit gets the smallest tau that keeps it. The
-weights are then realised as budgeted block permutations: a source's documents
-are ordered by hash into blocks, whole passes come first, and the last pass is
-cut where its budget ends. The cut reads block sums and one block a source.
+shares, and a source over its limit gets the smallest tau that keeps it, which
+gives its share. In the plain form (``temperature``) the weights only set the
+entropy, and natural shares are raised to the exponent that has it. The shares
+are then realised as budgeted block permutations: a source's documents are
+ordered by hash into blocks, whole passes come first, and the last pass is cut
+where its budget ends. The cut reads block sums and one block a source.
 
 Only numbers per source and per block reach the driver, never documents.
 """
@@ -60,41 +62,49 @@ def exponent_for_entropy(tokens: list[float], target: float) -> float:
 def limited_shares(weights: list[float], tokens: list[float], limits: list[float], budget: float) -> tuple[list[float], list[float]]:
     """(shares, exponents): the weights, softened just as far as ``limits`` (most tokens of each source) require.
 
-    Sources over their limit get, by bisection, the smallest exponent that
-    keeps it, and the others share the rest by weight; repeated until no source
-    is over. If all limits together are below the budget, every source is at
-    its limit.
+    Sources over their limit get the share of the smallest exponent that keeps
+    it, and the others share the rest by weight; repeated until no source is
+    over. If all limits together are below the budget, every source is at its
+    limit. An exponent is NaN where none gives the share: there, and if the
+    limit is 0 or above the weight, or the weight is no more than the natural
+    share; such a source is set to its limit.
     """
     n = len(weights)
     q = [t / sum(tokens) for t in tokens]
-    tau = [0.0] * n
     if sum(limits) <= budget:
         return [x / sum(limits) for x in limits], [math.nan] * n
-    at_limit: set[int] = set()
+    tau = [0.0] * n
+    fixed: dict[int, float] = {}
     shares = list(weights)
     for _ in range(n + 1):
-        fixed = {i: limits[i] / budget for i in at_limit}
-        free = sum(w for i, w in enumerate(weights) if i not in at_limit)
+        free = sum(w for i, w in enumerate(weights) if i not in fixed)
         rest = 1 - sum(fixed.values())
         shares = [fixed.get(i, weights[i] / free * rest if free else 0.0) for i in range(n)]
-        over = {i for i in range(n) if i not in at_limit and shares[i] * budget > limits[i] * (1 + 1e-12)}
+        over = [i for i in range(n) if i not in fixed and shares[i] * budget > limits[i] * (1 + 1e-12)]
         if not over:
             break
-        at_limit |= over
-    for i in at_limit:
-        low, high = 0.0, 1.0
-        while weights[i] * (q[i] / weights[i]) ** high > limits[i] / budget and high < 64 and q[i] < weights[i]:
-            high *= 2
-        for _ in range(100):
-            mid = (low + high) / 2
-            if weights[i] * (q[i] / weights[i]) ** mid > limits[i] / budget:
-                low = mid
-            else:
-                high = mid
-        tau[i] = high
+        for i in over:
+            tau[i] = softening(weights[i], q[i], limits[i] / budget)
+            fixed[i] = limits[i] / budget if math.isnan(tau[i]) else min(weights[i] * (q[i] / weights[i]) ** tau[i], limits[i] / budget)
     return shares, tau
 
 
+def softening(weight: float, natural: float, most: float) -> float:
+    """The smallest exponent, by bisection, at which weight * (natural / weight) ** exponent is no more than ``most``; NaN if there is none above 0."""
+    if most <= 0 or most >= weight or natural >= weight:
+        return math.nan
+    low, high = 0.0, 1.0
+    while weight * (natural / weight) ** high > most:
+        low, high = high, high * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        if weight * (natural / weight) ** mid > most:
+            low = mid
+        else:
+            high = mid
+    return high
+
+
 @dataclass(frozen=True)
 class Line:
     """The plan for one source of one mixture."""
@@ -133,14 +143,23 @@ def best_budget(weights: list[float], tokens: list[float], docs: list[int], limi
     return best[1]
 
 
-def plan_shares(lines: list[Line], budget: float | None = None) -> list[Line]:
-    """Shares, exponents and budgets of one mixture. Sources without tokens get nothing; their weight goes to the others."""
+def plan_shares(lines: list[Line], budget: float | None = None, *, temperature: bool = False) -> list[Line]:
+    """Shares, exponents and budgets of one mixture. Sources without tokens get nothing; their weight goes to the others.
+
+    ``temperature``: instead of the weights themselves, natural shares raised to
+    the exponent at which they have the weights' entropy; limits hold as ever,
+    and the exponents are those of the natural shares.
+    """
     live = [x for x in lines if x.tokens > 0 and x.target > 0]
     if not live:
         return lines
     w = [x.target for x in live]
     w = [x / sum(w) for x in w]
     t = [float(x.tokens) for x in live]
+    base = 0.0
+    if temperature:
+        base = exponent_for_entropy(t, entropy(w))
+        w = temperature_shares(t, base)
     limits = [math.inf if x.cap is None else float(x.cap * x.tokens) for x in live]
     size = budget or best_budget(w, t, [x.docs for x in live], limits)
     size = min(size, sum(limits))
@@ -149,7 +168,7 @@ def plan_shares(lines: list[Line], budget: float | None = None) -> list[Line]:
     for x, s, e in zip(live, shares, tau, strict=True):
         want = s * size
         passes = int((want + 1e-6) // x.tokens)
-        done[x.source] = replace(x, share=s, exponent=e, budget=want, passes=passes, rest=max(0.0, want - passes * x.tokens))
+        done[x.source] = replace(x, share=s, exponent=base + e * (1 - base), budget=want, passes=passes, rest=max(0.0, want - passes * x.tokens))
     return [done.get(x.source, x) for x in lines]
 
 
@@ -221,8 +240,8 @@ def tokenized(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str =
     return n.withColumns({"block": block, "hash": h})
 
 
-def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None) -> list[Line]:
-    """The plan of every mixture for tokenized documents. ``budget``: tokens of each mix, by default :func:`best_budget`."""
+def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False) -> list[Line]:
+    """The plan of every mixture for tokenized documents. ``budget``: tokens of each mix, by default :func:`best_budget`; see :func:`plan_shares`."""
     lines = read_targets(mixture_targets)
     names = sorted({x.source for x in lines})
     if not names:
@@ -232,7 +251,7 @@ def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | Non
     lines = [replace(x, tokens=size.get(x.source, (0, 0))[0], docs=size.get(x.source, (0, 0))[1]) for x in lines]
     planned: list[Line] = []
     for m in dict.fromkeys(x.mixture for x in lines):
-        planned += plan_shares([x for x in lines if x.mixture == m], budget)
+        planned += plan_shares([x for x in lines if x.mixture == m], budget, temperature=temperature)
     return _cuts(docs, planned)
 
 
@@ -258,14 +277,14 @@ def report(chosen: DataFrame, plan: list[Line]) -> DataFrame:
     return full.withColumn("actual_share", F.when(all_tokens > 0, F.col("mixed_tokens") / all_tokens).otherwise(0.0)).withColumn("repeats", F.when(F.col("source_tokens") > 0, F.col("mixed_tokens") / F.col("source_tokens")).otherwise(0.0))
 
 
-def mix(documents: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, seed: int = 0, folder: str = TOKENIZER_DIR, name: str = RANK_FILE) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False, seed: int = 0, folder: str = TOKENIZER_DIR, name: str = RANK_FILE) -> tuple[DataFrame, DataFrame]:
     """(chosen documents, report). Documents without text, tokens or source are never chosen.
 
     doc_id is unique; a repeated row would be one more document of its source.
     Mixtures whose sources all lack tokens choose nothing and report zeros.
     """
     docs = cut(tokenized(documents, folder=folder, name=name, seed=seed))
-    plan = mix_plan(docs, mixture_targets, budget=budget)
+    plan = mix_plan(docs, mixture_targets, budget=budget, temperature=temperature)
     if not plan:
         empty = docs.select(F.lit("").alias("mixture"), "source", "doc_id", F.lit(0).alias("copies"), "n_tokens").limit(0)
         return empty, report(empty, [])

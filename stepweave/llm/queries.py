@@ -48,11 +48,16 @@ def p7_documents(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
 
 
+def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """Natural shares at the temperature that has the entropy of each mixture's weights."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"), temperature=True)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_collapsed, p3_found, p3_values, p6_ids, p7_shares, p7_documents, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_collapsed, p3_found, p3_values, p6_ids, p7_shares, p7_documents, p7_temperature, p8_found)}
 
 _RUNS = """
 WITH latest AS (
