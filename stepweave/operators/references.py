@@ -46,14 +46,14 @@ def lifetimes(df: DataFrame, kind: str, key: Column, start: str = "registered_at
 
 
 def _heavy(groups: DataFrame, heavy_rows: int) -> DataFrame | None:
-    """Heavy keys, as written: fewer than MAX_HEAVY rows by the choice of the threshold."""
-    sums = groups.groupBy("kind", "raw").agg(F.sum("n").alias("n"))
+    """Heavy keys, in normal form, with all their spellings together: fewer than MAX_HEAVY rows by the choice of the threshold."""
+    sums = groups.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     top = sums.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     least = max(heavy_rows, (top.total or 0) // MAX_HEAVY)
     if (top.most or 0) <= least:
         return None
-    rows = sums.filter(F.col("n") > least).select("kind", "raw").collect()
-    return groups.sparkSession.createDataFrame([tuple(r) for r in rows], "kind string, raw string")
+    rows = sums.filter(F.col("n") > least).select("kind", "key").collect()
+    return groups.sparkSession.createDataFrame([tuple(r) for r in rows], "kind string, key string")
 
 
 def _verdicts(groups: DataFrame, lives: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def _orphan_rows(refs: DataFrame, bad: DataFrame, lives: DataFrame) -> DataFrame
     return hit.join(l, holds, "left_anti")
 
 
-def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Callable[[Column], Column]] | None = None, *, heavy_rows: int = 100_000) -> DataFrame:
+def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Callable[[Column], Column]] | None = None, *, heavy_rows: int = 0) -> DataFrame:
     """The references without a living target: ref_table, ref_field, ref_id, ref_pos, key, t, month; each once.
 
     ``normal`` brings keys of a kind into normal form, once per group rather
@@ -84,7 +84,8 @@ def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Calla
     lifetime, so such a reference is an orphan with a null month. Repeated rows
     count once per (ref_table, ref_field, ref_id, ref_pos). Repeated lifetimes
     do no harm; empty inputs give an empty result or, without any target, all
-    references.
+    references. A key is heavy with more than 1 / MAX_HEAVY of all references,
+    and more than ``heavy_rows``.
     """
     lives = lives.distinct()
     key = F.col("raw")
@@ -98,11 +99,11 @@ def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Calla
         found = _orphan_rows(refs, broadcast_if_small(bad), lives)
     else:
         h = F.broadcast(heavy)
-        hot, cold = groups.join(h, ["kind", "raw"], "left_semi"), groups.join(h, ["kind", "raw"], "left_anti")
-        hot_lives = broadcast_if_small(lives.join(broadcast_if_small(hot.select("kind", "key").distinct()), ["kind", "key"], "left_semi"))
-        bad = cut(_verdicts(hot, hot_lives).unionByName(_verdicts(cold, lives)))
-        hot_rows = _orphan_rows(refs.join(h, ["kind", "raw"], "left_semi"), broadcast_if_small(bad.join(h, ["kind", "raw"], "left_semi")), hot_lives)
-        cold_rows = _orphan_rows(refs.join(h, ["kind", "raw"], "left_anti"), broadcast_if_small(bad.join(h, ["kind", "raw"], "left_anti")), lives)
+        hot, cold = groups.join(h, ["kind", "key"], "left_semi"), groups.join(h, ["kind", "key"], "left_anti")
+        hot_lives = broadcast_if_small(lives.join(h, ["kind", "key"], "left_semi"))
+        bad = cut(_verdicts(hot, hot_lives).withColumn("hot", F.lit(True)).unionByName(_verdicts(cold, lives).withColumn("hot", F.lit(False))))
+        hot_rows = _orphan_rows(refs, broadcast_if_small(bad.filter("hot")), hot_lives)
+        cold_rows = _orphan_rows(refs, broadcast_if_small(bad.filter("not hot")), lives)
         found = hot_rows.unionByName(cold_rows)
     return found.dropDuplicates(["ref_table", "ref_field", "ref_id", "ref_pos"]).select("ref_table", "ref_field", "ref_id", "ref_pos", "key", "t", "month")
 
