@@ -88,8 +88,8 @@ def best_per_step(topk_rows: DataFrame, n: int = 5, **kw) -> DataFrame:
     repeats = F.size("good") - F.size(F.array_distinct(F.col("good.feature_id")))
     best = F.slice(F.sort_array("good"), F.lit(1), F.lit(n) + repeats)
     flat = rows.select(*STEP, F.explode(best).alias("p")).select(*STEP, "p.feature_id", (-F.col("p.down")).alias("v"))
-    # candidates, without building them: an upper bound on the rows of a step decides if it is heavy
-    counts = known.groupBy(*STEP).agg(F.sum(F.least(F.size("top_feature_ids"), F.size("top_feature_vals"), F.lit(n))).alias("n"))
+    # the size of ``best``, without sorting
+    counts = rows.groupBy(*STEP).agg(F.sum(F.least(F.size("good"), F.lit(n) + repeats)).alias("n"))
     return top_n(flat, STEP, "feature_id", n, F.max("v"), counts=counts, **kw)
 
 
