@@ -88,7 +88,7 @@ JA = [
     (KEEP, r"[。！？!?…][」』”’\"]", r"\s*" + _any(AFTER_QUOTE_JA)),
 ]
 ZH = [
-    (KEEP, r"(?:\A|" + DONE + r"\s*)[“「『\"][^“”「」『』\"]*[。！？!?…]+[”」』\"]", r"[^。！？“「『\n]{0,24}?(?:" + "|".join(SAYING_ZH.split()) + ")"),
+    (KEEP, r"(?:\A|" + DONE + r"\s*)[“「『\"][^“”「」『』\"]*[。！？!?…]+[”」』\"]", r"[^。！？“「『\n]*?(?:" + "|".join(SAYING_ZH.split()) + ")"),
 ]
 CJK_ALL = [
     (BREAK, r"(?:\A|" + DONE + r"\s*)[（【][^（）【】]*[。！？!?…]+[）】]", ""),
@@ -102,7 +102,7 @@ AR = [
     (BREAK, r"[\p{Arabic}\p{M}]{2}[.!؟]+" + CLOSERS + "*", r"[\p{Arabic}«(]"),
 ]
 HI = [
-    (KEEP, r"(?:\A|" + DONE + r"\s*)[\"“][^\"“”]*[।॥!?…]+[\"”]", r"[^।॥!?\n]{0,40}?(?:" + "|".join(SAYING_HI.split()) + ")"),
+    (KEEP, r"(?:\A|" + DONE + r"\s*)[\"“][^\"“”]*[।॥!?…]+[\"”]", r"[^।॥!?\n]*?(?:" + "|".join(SAYING_HI.split()) + ")"),
     (BREAK, r"\p{Devanagari}[।॥!?]+" + CLOSERS + "*", r"\s*\S"),
 ]
 TH = [(KEEP, r"(?<![\p{Thai}])\p{Thai}\.", "")]
