@@ -93,8 +93,9 @@ def _effective(mapping: str):
 
 
 def topk_timestep_mean(spark: SparkSession, d: str) -> DataFrame:
+    """A stored NaN or infinity makes the mean of its feature in its time step what arithmetic makes of it."""
     t = table(spark, d, "topk_rows")
-    v = act.long_form(t, ["run_id", "episode_num", "step_in_episode"]).filter(~F.isnan("value") & (F.abs("value") < float("inf")))
+    v = act.long_form(t, ["run_id", "episode_num", "step_in_episode"])
     return act.timestep_mean(t, v, ["run_id", "episode_num", "step_in_episode"]).select("run_id", "episode_num", "step_in_episode", "feature", F.round("x", 8).alias("x"))
 
 
@@ -222,9 +223,12 @@ def labels_and_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forced_actions(spark: SparkSession, d: str) -> DataFrame:
-    """Replay velocities with the last dimension forced, summed for comparison."""
-    r = table(spark, d, "replay_reference").filter("size(qvel) = 9").select("pair_id", "sample_step", replace_last(F.col("qvel"), F.lit(1.0)).alias("v"))
-    return r.select("pair_id", "sample_step", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0))), 5).alias("total")).distinct()
+    """Every replay velocity with its last dimension forced: elements, those that are no numbers, and the sum of the others. A vector without elements has none to force."""
+    v = F.when(F.size("qvel") > 0, replace_last(F.col("qvel"), F.lit(1.0))).otherwise(F.array().cast("array<double>"))
+    r = table(spark, d, "replay_reference").select("pair_id", "sample_step", v.alias("v"))
+    bad = lambda x: x.isNull() | F.isnan(x)
+    total = F.aggregate(F.filter("v", lambda x: ~bad(x)), F.lit(0.0), lambda a, x: a + x)
+    return r.select("pair_id", "sample_step", F.size("v").alias("elements"), F.size(F.filter("v", bad)).alias("no_numbers"), F.round(total, 5).alias("total")).distinct()
 
 
 def contact_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -372,7 +376,7 @@ ORACLE = {
     "quat_delta_velocity": _TRAJ + """, qn AS (SELECT *, sqrt(1 + q[1]**2 + q[2]**2 + q[3]**2) AS nq, sqrt(1 + p[1]**2 + p[2]**2 + p[3]**2) AS np FROM vel0 WHERE q IS NOT NULL),
       qd AS (SELECT *, (-q[1]*1 + p[1]*1 - p[2]*q[3] + p[3]*q[2]) / (nq*np) AS x, (-q[2] + p[2] + p[1]*q[3] - p[3]*q[1]) / (nq*np) AS y, (-q[3] + p[3] - p[1]*q[2] + p[2]*q[1]) / (nq*np) AS z, (1 + p[1]*q[1] + p[2]*q[2] + p[3]*q[3]) / (nq*np) AS s FROM qn)
       SELECT run_id, episode_num, step, round(""" + _W.format(n="sqrt(x*x + y*y + z*z)", s="s") + ", 4) AS angular_speed FROM qd",
-    "topk_timestep_mean": "WITH n AS (SELECT run_id, episode_num, step_in_episode, count(*) AS n FROM topk_rows GROUP BY ALL), l AS (SELECT run_id, episode_num, step_in_episode, unnest(top_feature_ids[:least(len(top_feature_ids), len(top_feature_vals))]) AS feature, unnest(top_feature_vals[:least(len(top_feature_ids), len(top_feature_vals))]) AS v FROM topk_rows) SELECT run_id, episode_num, step_in_episode, feature, round(sum(CAST(v AS DOUBLE)) / any_value(n), 8) AS x FROM l JOIN n USING (run_id, episode_num, step_in_episode) WHERE feature IS NOT NULL AND v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) GROUP BY run_id, episode_num, step_in_episode, feature",
+    "topk_timestep_mean": "WITH n AS (SELECT run_id, episode_num, step_in_episode, count(*) AS n FROM topk_rows GROUP BY ALL), l AS (SELECT run_id, episode_num, step_in_episode, unnest(top_feature_ids[:least(len(top_feature_ids), len(top_feature_vals))]) AS feature, unnest(top_feature_vals[:least(len(top_feature_ids), len(top_feature_vals))]) AS v FROM topk_rows) SELECT run_id, episode_num, step_in_episode, feature, round(sum(CAST(v AS DOUBLE)) / any_value(n), 8) AS x FROM l JOIN n USING (run_id, episode_num, step_in_episode) WHERE feature IS NOT NULL AND v IS NOT NULL GROUP BY run_id, episode_num, step_in_episode, feature",
     "index_range_expand": "WITH i AS (SELECT DISTINCT * FROM activation_index WHERE row_end > row_start) SELECT run_id, layer_idx, coalesce(episode_num, 0) AS episode_num, CAST(sum(row_end - row_start) AS BIGINT) AS n_rows, CAST(max(row_end - row_start - 1) AS INTEGER) AS last_token, CAST(sum((row_start + row_end - 1) * (row_end - row_start) // 2) AS BIGINT) AS row_sum FROM i GROUP BY run_id, layer_idx, coalesce(episode_num, 0)",
     "interval_contiguity": f"WITH i AS (SELECT DISTINCT {_P('shard_path')} AS path, row_start, row_end FROM activation_index) SELECT path, count(*) AS intervals, count(*) FILTER (row_start <> 0 AND NOT EXISTS (SELECT 1 FROM i b WHERE b.path = i.path AND b.row_end = i.row_start)) AS breaks, max(row_end) AS num_rows FROM i WHERE path IS NOT NULL GROUP BY path",
     "forward_renumber": "WITH f AS (SELECT run_id, global_forward_idx, min((coalesce(shard_path, ''), row_start)) AS first FROM activation_index WHERE global_forward_idx > 0 GROUP BY ALL) SELECT run_id, global_forward_idx, row_number() OVER (ORDER BY run_id, first, global_forward_idx) AS new_forward_idx FROM f",
@@ -384,9 +388,8 @@ ORACLE = {
       SELECT task_id, count(*) AS attempts, count(*) FILTER (el) AS eligible_pairs, count(*) FILTER (el AND v) AS valid_pairs, count(*) FILTER (el AND NOT v) AS invalid_pairs, count(*) FILTER (NOT el) AS ineligible_pairs, count(*) FILTER (p) AS primary_pairs,
         min(attempt) FILTER (nv >= 2 AND np >= 1) AS met_at, max(attempt) AS last_attempt, min(attempt) FILTER (nv >= 2 AND np >= 1) IS NOT NULL AS target_reached, coalesce(min(attempt) FILTER (nv >= 2 AND np >= 1) < max(attempt), false) AS stopped_late FROM r GROUP BY task_id""",
     "condition_summary": _TRAJ + "SELECT d.condition, count(p.run_id) AS episodes, count(*) FILTER (coalesce(p.success, false)) AS successes, count(p.run_id) - count(*) FILTER (coalesce(p.success, false)) AS failures, round(CASE WHEN count(p.run_id) > 0 THEN count(*) FILTER (coalesce(p.success, false)) / count(p.run_id) ELSE 0 END, 6) AS success_rate FROM (VALUES ('normal'), ('forced'), ('replay')) d(condition) LEFT JOIN prompts p ON d.condition = CASE WHEN p.episode_num % 2 = 0 THEN 'forced' ELSE 'normal' END GROUP BY d.condition",
-    "action_divergence": _PAIRS + f""", q AS (SELECT * FROM p WHERE coalesce(len(va), 9) = 9 AND coalesce(len(vb), 9) = 9 AND coalesce(len(list_filter(va, lambda x: x IS NULL OR isnan(x))), 0) = 0 AND coalesce(len(list_filter(vb, lambda x: x IS NULL OR isnan(x))), 0) = 0),
-      z AS (SELECT entity, step, va IS NOT NULL AS a, vb IS NOT NULL AS b, CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN {_far("va", "vb")} END AS m, CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN list_sum(list_transform(range(1, 10), lambda i: abs(va[i] - vb[i]))) END AS t FROM q)
-      SELECT entity, count(*) FILTER (a) AS raw_steps, count(*) FILTER (b) AS condition_steps, CAST(coalesce(min(step) FILTER (m > 1e-6), CASE WHEN count(*) FILTER (a) <> count(*) FILTER (b) THEN count(*) FILTER (a AND b) END) AS BIGINT) AS first_changed_step, round(coalesce(max(m), 0), 6) AS max_abs_delta, round(coalesce(sum(t) / (9 * nullif(count(t), 0)), 0), 6) AS mean_abs_delta FROM z GROUP BY entity""",
+    "action_divergence": _PAIRS + f""", q AS (SELECT entity, step, in_a, in_b, va, CASE WHEN in_a AND in_b THEN {_far("va", "vb")} END AS m, CASE WHEN in_a AND in_b THEN list_sum(list_transform(range(1, least(len(va), len(vb)) + 1), lambda i: abs(va[i] - vb[i]))) END AS t FROM p)
+      SELECT entity, count(*) FILTER (in_a) AS raw_steps, count(*) FILTER (in_b) AS condition_steps, CAST(coalesce(min(step) FILTER (m > 1e-6), CASE WHEN count(*) FILTER (in_a) <> count(*) FILTER (in_b) THEN count(*) FILTER (in_a AND in_b) END) AS BIGINT) AS first_changed_step, round(coalesce(max(m), 0), 6) AS max_abs_delta, round(coalesce(sum(t) FILTER (NOT isinf(m)) / nullif(sum(len(va)) FILTER (NOT isinf(m)), 0), 0), 6) AS mean_abs_delta FROM q GROUP BY entity""",
     "prefix_compare": _PAIRS + f""", f AS (SELECT entity, step, CASE WHEN {_far("qa", "qb")} > 1e-6 THEN 'pre_qpos' WHEN {_far("va", "vb")} > 1e-6 THEN 'pre_qvel' WHEN ha IS DISTINCT FROM hb THEN 'state_hash' END AS field FROM p WHERE in_a AND in_b)
       SELECT entity, count(*) AS steps_compared, min(step) FILTER (field IS NOT NULL) AS first_mismatch_step, arg_min(field, step) FILTER (field IS NOT NULL) AS mismatch_field FROM f GROUP BY entity""",
     "max_abs_deltas": _PAIRS + f", f AS (SELECT entity, {_far('qa', 'qb')} AS x FROM p WHERE in_a AND in_b) SELECT entity, count(*) FILTER (isinf(x)) AS not_comparable, round(max(x) FILTER (NOT isinf(x)), 6) AS max_delta FROM f GROUP BY entity",
@@ -398,7 +401,7 @@ ORACLE = {
     "key_set_equality": "WITH a AS (SELECT DISTINCT run_id, episode_num FROM prompt_records), b AS (SELECT DISTINCT run_id, episode_num FROM activation_index WHERE episode_num IS NOT NULL AND episode_num <> -1) (SELECT *, 'left' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL (SELECT *, 'right' FROM (SELECT * FROM b EXCEPT SELECT * FROM a))",
     "zip_alignment": _TRAJ + ", l AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY episode_num) AS n, episode_num, task_id FROM prompts), r AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY episode_num) AS n, episode_num, task_id FROM eps), j AS (SELECT coalesce(l.run_id, r.run_id) AS run_id, coalesce(l.n, r.n) AS n, l.run_id IS NULL OR r.run_id IS NULL OR l.episode_num IS DISTINCT FROM r.episode_num OR l.task_id IS DISTINCT FROM r.task_id AS bad FROM l FULL JOIN r ON l.run_id = r.run_id AND l.n = r.n) SELECT run_id, count(*) AS positions, count(*) FILTER (bad) AS mismatches, min(n) FILTER (bad) AS first_mismatch FROM j GROUP BY run_id",
     "labels_and_ids": _TRAJ + f"SELECT run_id, episode_num, {_LABEL} AS label, printf('ep%04d_task%02d_wp01_step%04d_', episode_num, task_id, num_actions) || {_LABEL} AS sample_id, replace(regexp_replace(regexp_replace(printf('%.4f', num_actions / 1000.0), '0+$', ''), '\\.$', ''), '.', 'p') AS tag FROM prompts WHERE task_id IS NOT NULL AND task_description IS NOT NULL AND num_actions IS NOT NULL",
-    "forced_actions": "SELECT DISTINCT pair_id, sample_step, round(1.0 + list_sum(list_transform(qvel[1:8], lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 0 ELSE x END)), 5) AS total FROM replay_reference WHERE len(qvel) = 9",
+    "forced_actions": "WITH v AS (SELECT pair_id, sample_step, CASE WHEN len(qvel) > 0 THEN list_append(qvel[1:len(qvel) - 1], 1.0) ELSE [] END AS v FROM replay_reference) SELECT DISTINCT pair_id, sample_step, CAST(len(v) AS INTEGER) AS elements, CAST(len(v) - len(list_filter(v, lambda x: x IS NOT NULL AND NOT isnan(x))) AS INTEGER) AS no_numbers, round(coalesce(list_sum(list_filter(v, lambda x: x IS NOT NULL AND NOT isnan(x))), 0), 5) AS total FROM v",
     "violations_keys": _TRAJ + """SELECT 'prompt_lifetimes_unique' AS "constraint", CAST(0 AS BIGINT) AS violations, CAST(NULL AS BIGINT) AS checked
       UNION ALL SELECT 'episodes_have_prompts', count(*), NULL FROM eps ANTI JOIN prompts USING (run_id, episode_num)
       UNION ALL SELECT 'prompts_have_episodes', count(*), NULL FROM prompts ANTI JOIN eps USING (run_id, episode_num)

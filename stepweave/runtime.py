@@ -36,11 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """Use the shared folder of ``spark.checkpoint.dir``.
+
+    Without that setting a local master gets a temporary folder, as in tests;
+    on a cluster it is an error, since executors share no temporary folder.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "stepweave-checkpoints"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not one_machine(sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "stepweave-checkpoints"))
+
+
+def one_machine(master: str) -> bool:
+    """Do driver and tasks share one process? ``local`` and ``local[n]``, but not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
 
 
 def cut(df: DataFrame) -> DataFrame:
