@@ -8,7 +8,10 @@ Method: a skew-aware split. References are pre-aggregated per key and month to
 a group that no lifetime touches is orphaned as a whole, and only the rest
 needs a look at single rows. Groups of heavy keys are checked against a
 broadcast of those keys' lifetimes, all others by a shuffled join; both
-verdicts are united and bring back the orphaned rows.
+verdicts are united and bring back the orphaned rows. A key is heavy as soon
+as it would fill more than a task's share, so no shuffled key does, whatever
+the number of rows. Where the verdicts or lifetimes of heavy keys are too many
+to broadcast, both sides are salted instead.
 """
 
 from __future__ import annotations
@@ -19,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.functions.paths import normal_path
-from stepweave.runtime import broadcast_if_small, cut
+from stepweave.runtime import BROADCAST_ROWS, broadcast_if_small, cut
 
-#: No more keys than this can be heavy: a heavy key holds more than 1 / MAX_HEAVY of all references.
-MAX_HEAVY = 1024
+#: A task's share of the references: this part of them, but never more rows than TASK_ROWS.
+SHARE, TASK_ROWS = 1024, 500_000
+#: Copies of each heavy row's partners where they have to be shuffled.
+SALTS = 64
 
 
 def references(df: DataFrame, table: str, ref_id: str, time: str, fields: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -46,14 +51,11 @@ def lifetimes(df: DataFrame, kind: str, key: Column, start: str = "registered_at
 
 
 def _heavy(groups: DataFrame, heavy_rows: int) -> DataFrame | None:
-    """Heavy keys, in normal form, with all their spellings together: fewer than MAX_HEAVY rows by the choice of the threshold."""
+    """Keys, in normal form, whose references in all their spellings exceed a task's share: at most max(SHARE, references / TASK_ROWS) keys."""
     sums = groups.groupBy("kind", "key").agg(F.sum("n").alias("n"))
     top = sums.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-    least = max(heavy_rows, (top.total or 0) // MAX_HEAVY)
-    if (top.most or 0) <= least:
-        return None
-    rows = sums.filter(F.col("n") > least).select("kind", "key").collect()
-    return groups.sparkSession.createDataFrame([tuple(r) for r in rows], "kind string, key string")
+    least = max(heavy_rows, min(TASK_ROWS, (top.total or 0) // SHARE))
+    return sums.filter(F.col("n") > least).select("kind", "key") if (top.most or 0) > least else None
 
 
 def _verdicts(groups: DataFrame, lives: DataFrame) -> DataFrame:
@@ -67,13 +69,34 @@ def _verdicts(groups: DataFrame, lives: DataFrame) -> DataFrame:
     return by.filter(~F.col("spans")).select("kind", "key", "raw", "month", F.when(F.col("meets"), "mixed").otherwise("orphan").alias("state"))
 
 
-def _orphan_rows(refs: DataFrame, bad: DataFrame, lives: DataFrame) -> DataFrame:
-    """References in bad groups; those of mixed groups only if no lifetime holds their own time."""
-    r, m, l = refs.alias("r"), bad.alias("m"), lives.alias("l")
-    on = (F.col("r.kind") == F.col("m.kind")) & (F.col("r.raw") == F.col("m.raw")) & F.col("r.month").eqNullSafe(F.col("m.month"))
-    hit = r.join(m, on).select("r.*", "m.key", "m.state").alias("h")
+def _hits(refs: DataFrame, bad: DataFrame, salts: int = 1) -> DataFrame:
+    """The references in bad groups, with the group's key and state."""
+    r, m = _salted(refs, salts).alias("r"), _copies(bad, salts).alias("m")
+    on = (F.col("r.kind") == F.col("m.kind")) & (F.col("r.raw") == F.col("m.raw")) & F.col("r.month").eqNullSafe(F.col("m.month")) & _same_salt("r", "m", salts)
+    return r.join(m, on).select(*[F.col(f"r.{c}").alias(c) for c in refs.columns], "m.key", "m.state")
+
+
+def _unheld(hits: DataFrame, lives: DataFrame, salts: int = 1) -> DataFrame:
+    """Hits without those of mixed groups whose own time a lifetime holds."""
+    h, l = _salted(hits, salts).alias("h"), _copies(lives, salts).alias("l")
     holds = (F.col("h.kind") == F.col("l.kind")) & (F.col("h.key") == F.col("l.key")) & (F.col("h.state") == "mixed") & (F.col("l.start") <= F.col("h.t")) & (F.col("l.end").isNull() | (F.col("h.t") < F.col("l.end")))
-    return hit.join(l, holds, "left_anti")
+    return h.join(l, holds & _same_salt("h", "l", salts), "left_anti").select(*hits.columns)
+
+
+def _salted(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64("ref_id", "ref_pos"), F.lit(salts)).cast("int")) if salts > 1 else df
+
+
+def _copies(df: DataFrame, salts: int) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else df
+
+
+def _same_salt(a: str, b: str, salts: int) -> Column:
+    return F.col(f"{a}.salt") == F.col(f"{b}.salt") if salts > 1 else F.lit(True)
+
+
+def _small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Callable[[Column], Column]] | None = None, *, heavy_rows: int = 0) -> DataFrame:
@@ -84,8 +107,8 @@ def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Calla
     lifetime, so such a reference is an orphan with a null month. Repeated rows
     count once per (ref_table, ref_field, ref_id, ref_pos). Repeated lifetimes
     do no harm; empty inputs give an empty result or, without any target, all
-    references. A key is heavy with more than 1 / MAX_HEAVY of all references,
-    and more than ``heavy_rows``.
+    references. A key is heavy with more references than a task's share, and
+    more than ``heavy_rows``.
     """
     lives = lives.distinct()
     key = F.col("raw")
@@ -96,15 +119,21 @@ def orphan_references(refs: DataFrame, lives: DataFrame, normal: dict[str, Calla
     heavy = _heavy(groups, heavy_rows)
     if heavy is None:
         bad = cut(_verdicts(groups, lives))
-        found = _orphan_rows(refs, broadcast_if_small(bad), lives)
+        found = _unheld(_hits(refs, broadcast_if_small(bad)), lives)
     else:
-        h = F.broadcast(heavy)
+        h = broadcast_if_small(cut(heavy))
         hot, cold = groups.join(h, ["kind", "key"], "left_semi"), groups.join(h, ["kind", "key"], "left_anti")
-        hot_lives = broadcast_if_small(lives.join(h, ["kind", "key"], "left_semi"))
-        bad = cut(_verdicts(hot, hot_lives).withColumn("hot", F.lit(True)).unionByName(_verdicts(cold, lives).withColumn("hot", F.lit(False))))
-        hot_rows = _orphan_rows(refs, broadcast_if_small(bad.filter("hot")), hot_lives)
-        cold_rows = _orphan_rows(refs, broadcast_if_small(bad.filter("not hot")), lives)
-        found = hot_rows.unionByName(cold_rows)
+        hot_lives = cut(lives.join(h, ["kind", "key"], "left_semi"))
+        few = _small(hot_lives)
+        hot_lives, salts = (F.broadcast(hot_lives), 1) if few else (hot_lives, SALTS)
+        bad = cut(_verdicts(hot, hot_lives).withColumn("state", F.concat(F.lit("hot "), "state")).unionByName(_verdicts(cold, lives)))
+        is_hot = F.startswith(F.col("state"), F.lit("hot "))
+        if _small(bad):  # one pass over the references
+            hits = cut(_hits(refs, F.broadcast(bad)))
+        else:
+            hits = cut(_hits(refs, bad.filter(is_hot), SALTS).unionByName(_hits(refs, bad.filter(~is_hot))))
+        hot_hits = hits.filter(is_hot).withColumn("state", F.substring("state", 5, 6))
+        found = _unheld(hot_hits, hot_lives, salts).unionByName(_unheld(hits.filter(~is_hot), lives))
     return found.dropDuplicates(["ref_table", "ref_field", "ref_id", "ref_pos"]).select("ref_table", "ref_field", "ref_id", "ref_pos", "key", "t", "month")
 
 

@@ -27,3 +27,27 @@ def test_a_key_is_heavy_by_its_share_over_all_spellings(spark, monkeypatch):
 def test_the_split_changes_nothing(spark, heavy_rows):
     index, shards, want = data()
     assert orphans(spark, index, shards=shards, heavy_rows=heavy_rows) == want
+
+
+def test_salted_partners_of_heavy_keys(spark, monkeypatch):
+    index, shards, want = data()
+    monkeypatch.setattr(ref, "_small", lambda df: False)
+    assert orphans(spark, index, shards=shards, heavy_rows=0) == want
+
+
+def test_a_share_is_bounded_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(ref, "TASK_ROWS", 10)
+    monkeypatch.setattr(ref, "SHARE", 2)
+    groups = spark.createDataFrame([("shard", "a", 11), ("shard", "b", 10), ("shard", "c", 500), ("run", "a", 2000)], "kind string, key string, n long")
+    assert {tuple(r) for r in ref._heavy(groups, 0).collect()} == {("shard", "a"), ("shard", "c"), ("run", "a")}
+
+
+def test_the_registered_query_takes_both_branches(spark, monkeypatch):
+    from compare import SMALL
+
+    from stepweave.plans import registry
+
+    made = []
+    monkeypatch.setattr(ref, "_unheld", lambda *a, f=ref._unheld: made.append(a) or f(*a))
+    registry.QUERIES["p4_found"](spark, SMALL)
+    assert len(made) == 2
