@@ -4,7 +4,10 @@ Method: a column-by-bucket checksum matrix. Each copy is reduced, on its own,
 to one row per key bucket that holds an additive 128-bit checksum for every
 column. Comparing the two small matrices locates the unequal buckets and the
 unequal columns; only those columns of only those buckets are read again and
-compared value by value.
+compared value by value. Where a bucket of the first matrix still holds many
+keys, the unequal ones are cut into finer buckets by a matrix of their own, and
+so on: however large the copies, what is read again in the end is a few rows
+for each difference.
 
 Numbers match within a tolerance, so they are hashed on a grid whose cells are
 as wide as the tolerance. Two numbers that differ by more than the tolerance
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.runtime import cut
+from stepweave.runtime import broadcast_if_small, cut
 
 #: From this many cells on, rounding to the grid would no longer be sharp; the number is hashed as it is.
 EXACT_ABOVE = 1e10
@@ -97,11 +100,12 @@ def _lanes(*values: Column) -> list[Column]:
     return out
 
 
-def bucket_of(keys: Sequence[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets))
+def bucket_of(keys: Sequence[str], bits: int) -> Column:
+    """The leading ``bits`` bits of the key's hash: a bucket's number begins with that of every coarser bucket around it."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def checksum_matrix(df: DataFrame, keys: Sequence[str], version: str, fields: Sequence[Field], buckets: int, tolerance: float) -> DataFrame:
+def checksum_matrix(df: DataFrame, keys: Sequence[str], version: str, fields: Sequence[Field], bits: int, tolerance: float) -> DataFrame:
     """One row per non-empty bucket: additive checksums of presence and of each field.
 
     Of several rows of a key, each field counts with the row of latest
@@ -109,7 +113,7 @@ def checksum_matrix(df: DataFrame, keys: Sequence[str], version: str, fields: Se
     Only hashes are shuffled, pre-aggregated per key.
     """
     hashed = df.select(
-        bucket_of(keys, buckets).alias("bucket"),
+        bucket_of(keys, bits).alias("bucket"),
         *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)],
         *[F.struct(F.col(version).alias("t"), *[x.alias(f"l{j}") for j, x in enumerate(_lanes(F.lit(i), *keys, F.col(f.name).isNull(), canonical(f, tolerance)))]).alias(f"h{i}") for i, f in enumerate(fields)],
     )
@@ -134,12 +138,18 @@ def unequal_cells(left: DataFrame, right: DataFrame, n_fields: int) -> DataFrame
     return flags.filter(F.greatest(*names) if len(names) > 1 else F.col(names[0]))
 
 
-def default_buckets(rows: int) -> int:
-    """About 4 rows a bucket, between 2**10 and 2**20: the matrix, and what is broadcast of it (some 13 MB), stay bounded."""
-    b = 1 << 10
-    while b < min(rows // 4, 1 << 20):
-        b <<= 1
-    return b
+#: Keys of a bucket in the last matrix; bits of the first matrix at most, and bits by which each further one is finer.
+BUCKET_KEYS, FIRST_BITS, MORE_BITS = 4, 20, 10
+
+
+def bucket_bits(rows: int) -> int:
+    """Bits of the last matrix: about BUCKET_KEYS keys a bucket, at least 2**10 buckets."""
+    return max(10, (max(rows, 1) // BUCKET_KEYS).bit_length())
+
+
+def _within(df: DataFrame, keys: Sequence[str], cells: DataFrame, bits: int) -> DataFrame:
+    """The rows in the buckets of ``cells``, broadcast if they are few by count, else by a shuffle of both."""
+    return df.withColumn("__bucket", bucket_of(keys, bits)).join(broadcast_if_small(cells, 1 << FIRST_BITS), "__bucket")
 
 
 def diff_copies(
@@ -150,7 +160,9 @@ def diff_copies(
     fields: Sequence[Field],
     *,
     tolerance: float = 1e-6,
-    buckets: int | None = None,
+    bits: int | None = None,
+    first_bits: int = FIRST_BITS,
+    more_bits: int = MORE_BITS,
     left_only: str = "only_in_left",
     right_only: str = "only_in_right",
 ) -> DataFrame:
@@ -162,15 +174,20 @@ def diff_copies(
     Empty copies are allowed, extra columns are ignored. Each difference comes
     out once.
     """
-    spark = left.sparkSession
     n = len(fields)
-    if buckets is None:
-        buckets = default_buckets(max(left.count(), right.count()))
-    cells = cut(unequal_cells(checksum_matrix(left, keys, version, fields, buckets, tolerance), checksum_matrix(right, keys, version, fields, buckets, tolerance), n))
+    if bits is None:
+        bits = bucket_bits(max(left.count(), right.count()))
+    a, b, at = left, right, min(bits, first_bits)
+    while True:
+        matrix = [checksum_matrix(x, keys, version, fields, at, tolerance) for x in (a, b)]
+        cells = cut(unequal_cells(*matrix, n)).withColumnRenamed("bucket", "__bucket")
+        if at >= bits or cells.isEmpty():
+            break
+        a, b = (_within(x, keys, cells.select("__bucket"), at).drop("__bucket") for x in (left, right))
+        at = min(bits, at + more_bits)
     hit = cells.agg(*[F.coalesce(F.max(f"c{i}"), F.lit(False)).alias(f"c{i}") for i in range(n)]).first()
     use = [i for i in range(n) if hit[f"c{i}"]]
-    # At most `buckets` rows of a long and a few flags: bounded by construction.
-    wanted = F.broadcast(cells.select(F.col("bucket").alias("__bucket"), *[F.col(f"c{i}").alias(f"__c{i}") for i in use]))
+    wanted = cells.select("__bucket", *[F.col(f"c{i}").alias(f"__c{i}") for i in use])
 
     def side(df: DataFrame, name: str) -> DataFrame:
         cols = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
@@ -181,7 +198,8 @@ def diff_copies(
             c = F.transform(c, lambda x: x.cast("double")) if f.kind == "numbers" else c.cast("double") if f.kind == "number" else c
             order = [x.alias(f"l{j}") for j, x in enumerate(_lanes(F.lit(i), *keys, F.col(f.name).isNull(), canonical(f, tolerance)))]
             vals.append(F.struct(F.col(version).alias("t"), *order, c.alias(f.name)).alias(f"v{i}"))
-        return df.select(bucket_of(keys, buckets).alias("__bucket"), F.lit(name).alias("side"), *cols, *vals).join(wanted, "__bucket")
+        near = _within(df, keys, wanted, at)
+        return near.select(F.lit(name).alias("side"), *cols, *vals, *[f"__c{i}" for i in use])
 
     both = side(left, "a").unionByName(side(right, "b"))
     names = [f"k{i}" for i in range(len(keys))]

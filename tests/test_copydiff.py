@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from stepweave.operators.copydiff import checksum_matrix, default_buckets, diff_copies, replay_differences, unequal_cells, REPLAY_FIELDS, REPLAY_KEYS
+from stepweave.operators.copydiff import checksum_matrix, bucket_bits, diff_copies, replay_differences, unequal_cells, REPLAY_FIELDS, REPLAY_KEYS
 
 REF = "pair_id string, sample_step int, qpos array<double>, qvel array<double>, control_state_sha256 string, reward double, done boolean, written_at timestamp_ntz, bucket string, side string, k0 int, t int"
 T0 = dt.datetime(2025, 3, 1)
@@ -79,19 +79,37 @@ def test_against_brute_force(spark):
                 want.add((*k, "qpos"))
             if la[k][5] != lb[k][5]:
                 want.add((*k, "reward"))
-    for buckets in (1, 7, 1024):
-        assert found(spark, a, b, buckets=buckets) == want
+    for kw in ({"bits": 0}, {"bits": 3}, {"bits": 10}, {"bits": 12, "first_bits": 1, "more_bits": 4}, {"bits": 9, "first_bits": 0, "more_bits": 8}):
+        assert found(spark, a, b, **kw) == want
 
 
 def test_matrix_flags_only_unequal_columns(spark):
     a, b = spark.createDataFrame([row(step=i) for i in range(50)], REF), spark.createDataFrame([row(step=i, reward=float(i == 7)) for i in range(50)], REF)
-    m = lambda d: checksum_matrix(d, REPLAY_KEYS, "written_at", REPLAY_FIELDS, 1024, 1e-6)
+    m = lambda d: checksum_matrix(d, REPLAY_KEYS, "written_at", REPLAY_FIELDS, 10, 1e-6)
     cells = unequal_cells(m(a), m(b), 5).collect()
     assert len(cells) == 1 and cells[0].c3 and not any((cells[0].p, cells[0].c0, cells[0].c1, cells[0].c2, cells[0].c4))
 
 
-def test_buckets_are_bounded():
-    assert default_buckets(0) == 1 << 10 and default_buckets(10**15) == 1 << 20
+def test_buckets_grow_with_the_rows():
+    assert bucket_bits(0) == 10 and bucket_bits(81_000) == 15 and bucket_bits(4 * 10**12) == 40
+
+
+def test_finer_matrices_read_only_unequal_buckets(spark, monkeypatch):
+    from stepweave.operators import copydiff
+
+    seen = []
+    monkeypatch.setattr(copydiff, "checksum_matrix", lambda d, *a, f=copydiff.checksum_matrix: seen.append(d.count()) or f(d, *a))
+    a, b = [row(step=i) for i in range(400)], [row(step=i, reward=float(i == 7)) for i in range(400)]
+    assert found(spark, a, b, bits=10, first_bits=4, more_bits=3) == {("p", 7, "reward")}
+    assert len(seen) == 6 and seen[0] == seen[1] == 400 and seen[2] < 100 and seen[4] < 20
+
+
+def test_many_unequal_buckets_are_shuffled(spark, monkeypatch):
+    from stepweave.operators import copydiff
+
+    monkeypatch.setattr(copydiff, "broadcast_if_small", lambda df, n: df.hint("merge"))
+    a, b = [row(step=i) for i in range(60)], [row(step=i, reward=float(i % 2)) for i in range(60)]
+    assert found(spark, a, b, bits=10, first_bits=4) == {("p", i, "reward") for i in range(1, 60, 2)}
 
 
 def test_other_keys_and_value_fields(spark):
