@@ -6,12 +6,19 @@ repetition limits, are met. With target weights w and natural shares q the
 family is w * (q / w) ** tau: tau 0 gives the weights, tau 1 the natural
 shares, and a source over its limit gets the smallest tau that keeps it, which
 gives its share. In the plain form (``temperature``) the weights only set the
-entropy, and natural shares are raised to the exponent that has it. The shares
-are then realised as budgeted block permutations: a source's documents are
-ordered by hash into blocks, whole passes come first, and the last pass is cut
-where its budget ends. The cut reads block sums and one block a source.
+entropy, and natural shares are raised to the exponent that has it.
 
-Only numbers per source and per block reach the driver, never documents.
+Without a given size, a mix is as large as the corpus allows: the largest size,
+up to one pass over its sources, at which the planned shares miss the weights
+by no more than MAX_MISS in total variation.
+
+The shares are realised as budgeted block permutations: the documents of a
+source lie in blocks of a bounded number of rows, every pass of every mixture
+has its own order of the blocks, whole passes come first, and the last pass is
+cut where its budget ends. The place of the cut is found digit by digit from
+sums over ranges of the order, so no task holds more than one small range.
+
+Only numbers per target reach the driver, never documents or blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +34,11 @@ from stepweave.runtime import cut
 
 #: Ceiling on (mixture, source) rows: the plan of a mix is a configuration table, and it is broadcast.
 MAX_TARGETS = 10_000
-BLOCKS = 1024
+#: By how much, in total variation, the planned shares of a mix without a given size may miss its weights.
+MAX_MISS = 0.1
+#: Documents of a block, on average; rows that one task may order to find a cut; bits of the order that a step of the search looks at.
+BLOCK_DOCS, CUT_ROWS, DIGIT = 1024, 100_000, 10
+POSITION_BITS = 63
 
 
 def source_name(c: Column) -> Column:
@@ -120,30 +131,37 @@ class Line:
     budget: float = 0.0
     passes: int = 0
     rest: float = 0.0
-    cut_block: int = -1
+    blocks: int = 1
+    cut_pos: int = -1
     cut_hash: int = 0
     cut_doc: int = 0
 
 
-def best_budget(weights: list[float], tokens: list[float], docs: list[int], limits: list[float]) -> float:
-    """The size at which the weights are met best: what limits and whole documents together are expected to cost is least.
+def miss(shares: list[float], weights: list[float]) -> float:
+    """Total variation: the part of the mix that stands in the wrong source."""
+    return sum(abs(a - b) for a, b in zip(shares, weights, strict=True)) / 2
+
 
-    Above the size at which the first source reaches its limit, shares miss
-    their weights; a small mix misses them by the size of its documents, about
-    half a mean document a source. The largest of the best sizes wins.
+def largest_budget(weights: list[float], tokens: list[float], limits: list[float], max_miss: float) -> float:
+    """The largest size, up to one pass over the sources, at which the shares miss the weights by at most ``max_miss``.
+
+    The miss grows with the size, since more sources reach their limits; bisection finds where it exceeds the bound.
     """
-    top, best = sum(min(a, max(b, 1.0)) for a, b in zip(limits, [sum(tokens)] * len(tokens), strict=True)), (math.inf, 0.0)
-    top = min(top, sum(tokens))
-    for k in range(241):
-        b = top * 10 ** (-k / 40)
-        shares, _ = limited_shares(weights, tokens, limits, b)
-        cost = sum(abs(s - w) for s, w in zip(shares, weights, strict=True)) + sum(t / d / 2 for t, d in zip(tokens, docs, strict=True)) / b
-        if cost < best[0] - 1e-12:
-            best = (cost, b)
-    return best[1]
-
-
-def plan_shares(lines: list[Line], budget: float | None = None, *, temperature: bool = False) -> list[Line]:
+    high = min(sum(tokens), sum(limits))
+    ok = lambda b: miss(limited_shares(weights, tokens, limits, b)[0], weights) <= max_miss + 1e-12
+    if ok(high):
+        return high
+    low = 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        if ok(mid):
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def plan_shares(lines: list[Line], budget: float | None = None, *, temperature: bool = False, max_miss: float = MAX_MISS) -> list[Line]:
     """Shares, exponents and budgets of one mixture. Sources without tokens get nothing; their weight goes to the others.
 
     ``temperature``: instead of the weights themselves, natural shares raised to
@@ -161,14 +179,15 @@ def plan_shares(lines: list[Line], budget: float | None = None, *, temperature:
         base = exponent_for_entropy(t, entropy(w))
         w = temperature_shares(t, base)
     limits = [math.inf if x.cap is None else float(x.cap * x.tokens) for x in live]
-    size = budget or best_budget(w, t, [x.docs for x in live], limits)
-    size = min(size, sum(limits))
+    size = min(budget or largest_budget(w, t, limits, max_miss), sum(limits))
+    if size <= 0:  # all limits are 0
+        return lines
     shares, tau = limited_shares(w, t, limits, size)
     done = {}
     for x, s, e in zip(live, shares, tau, strict=True):
         want = s * size
         passes = int((want + 1e-6) // x.tokens)
-        done[x.source] = replace(x, share=s, exponent=base + e * (1 - base), budget=want, passes=passes, rest=max(0.0, want - passes * x.tokens))
+        done[x.source] = replace(x, share=s, exponent=base + e * (1 - base), budget=want, passes=passes, rest=max(0.0, want - passes * x.tokens), blocks=max(1, math.ceil(x.docs / BLOCK_DOCS)))
     return [done.get(x.source, x) for x in lines]
 
 
@@ -191,57 +210,82 @@ def read_targets(mixture_targets: DataFrame) -> list[Line]:
     return [Line(r.mixture, r.source, r.weight / total[r.mixture] if total[r.mixture] else 0.0, None if r.cap is None else max(r.cap, 0)) for r in rows]
 
 
-def _place(seed: int) -> tuple[Column, Column]:
-    h = F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"))
-    return F.pmod(h, F.lit(BLOCKS)).cast("int"), F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("doc_id"))
+def _positions(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """docs with every target of their source, and their place (``pos``, ``hash``, doc_id) in its last pass.
 
+    ``pos`` is the block's place in the permutation of this mixture and pass.
+    ``targets`` is broadcast: at most MAX_TARGETS rows.
+    """
+    j = docs.join(F.broadcast(targets), "source")
+    block = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.col("blocks"))
+    pos = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "mixture", "source", "passes", block), 64 - POSITION_BITS)
+    return j.withColumns({"pos": pos, "hash": F.xxhash64(F.lit(seed + 2), "source", "doc_id")})
 
-PLAN = "mixture string, source string, target double, cap int, tokens long, docs long, share double, exponent double, budget double, passes int, rest double, cut_block int, cut_hash long, cut_doc long"
 
+PLAN = "mixture string, source string, target double, cap int, tokens long, docs long, share double, exponent double, budget double, passes int, rest double, blocks long, cut_pos long, cut_hash long, cut_doc long"
 
-def _cuts(docs: DataFrame, lines: list[Line]) -> list[Line]:
-    """Where the last pass of each source ends: whole blocks first, then documents of one block by hash."""
-    spark = docs.sparkSession
-    need = [x for x in lines if x.rest > 0]
-    if not need:
-        return lines
-    wanted = F.broadcast(spark.createDataFrame([(x.mixture, x.source, float(x.rest)) for x in need], "mixture string, source string, rest double"))  # at most MAX_TARGETS rows
-    blocks = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
-    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)  # at most BLOCKS rows a source
-    edge = blocks.withColumn("upto", F.sum("n").over(w)).join(wanted, "source").filter(F.col("upto") >= F.col("rest")).groupBy("mixture", "source", "rest").agg(F.min(F.struct("block", "upto", "n")).alias("e"))
-    edge = edge.select("mixture", "source", F.col("e.block").alias("block"), (F.col("rest") - F.col("e.upto") + F.col("e.n")).alias("left"))
-    edges = {(r.mixture, r.source): r for r in edge.collect()}  # one row a target
-    if not edges:
-        return lines
-    at = F.broadcast(spark.createDataFrame([(r.mixture, r.source, r.block, float(r.left)) for r in edges.values()], "mixture string, source string, block int, left double"))
-    inside = Window.partitionBy("mixture", "source").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # one block of a source
-    run = docs.join(at, ["source", "block"]).withColumn("upto", F.sum("n_tokens").over(inside))
-    # the cut that comes nearest to what is left: a document stays if most of it fits
-    last = run.filter(F.col("upto") - F.col("n_tokens") / 2 <= F.col("left")).groupBy("mixture", "source").agg(F.max(F.struct("hash", "doc_id")).alias("d"))
-    cuts = {(r.mixture, r.source): r.d for r in last.collect()}
-    out = []
-    for x in lines:
-        e, d = edges.get((x.mixture, x.source)), cuts.get((x.mixture, x.source))
-        if e is not None and d is not None:
-            x = replace(x, cut_block=e.block, cut_hash=d.hash, cut_doc=d.doc_id)
-        elif e is not None:  # nothing of this block
-            x = replace(x, cut_block=e.block, cut_hash=-(1 << 63), cut_doc=-(1 << 63))
-        elif x.rest > 0:  # rounding: the whole pass
-            x = replace(x, cut_block=BLOCKS)
-        out.append(x)
-    return out
-
-
-def tokenized(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = RANK_FILE, seed: int = 0) -> DataFrame:
-    """doc_id, source, n_tokens, block, hash of each document that has a source and a token."""
+
+def _rows(plan: list[Line]) -> list[tuple]:
+    return [(x.mixture, x.source, x.target, x.cap, x.tokens, x.docs, x.share, x.exponent, float(x.budget), x.passes, float(x.rest), x.blocks, x.cut_pos, x.cut_hash, x.cut_doc) for x in plan]
+
+
+def _cuts(docs: DataFrame, lines: list[Line], seed: int, digit: int = DIGIT, cut_rows: int = CUT_ROWS) -> list[Line]:
+    """Where the last pass of each source ends.
+
+    The search fixes the leading bits of the place: sums over ranges of the
+    order say in which one the budget ends, and the next step looks only into
+    that range, until it is small enough to be ordered.
+    """
+    spark, by = docs.sparkSession, ["mixture", "source"]
+    found: dict[tuple[str, str], Line] = {}
+    # target -> what is left of its budget in the range that starts with ``lead``
+    left = {(x.mixture, x.source): (0, x.rest) for x in lines if x.rest > 0}
+    plans = {(x.mixture, x.source): x for x in lines}
+    bits = 0
+    small: dict[tuple[str, str], tuple[int, float, int]] = {}
+
+    def ranges(of: dict) -> DataFrame:
+        rows = [(m, s, plans[m, s].passes, plans[m, s].blocks, lead, float(rest)) for (m, s), (lead, rest) in of.items()]
+        t = spark.createDataFrame(rows, "mixture string, source string, passes int, blocks long, lead long, rest double")
+        return _positions(docs, t, seed).filter(F.shiftright("pos", POSITION_BITS - bits) == F.col("lead")) if bits else _positions(docs, t, seed)
+
+    while left:
+        step = min(digit, POSITION_BITS - bits)
+        sums = ranges(left).groupBy(*by, "rest", F.shiftright("pos", POSITION_BITS - bits - step).alias("range")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+        w = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # at most 2 ** step rows a target
+        edge = sums.withColumn("upto", F.sum("n").over(w)).filter(F.col("upto") >= F.col("rest")).groupBy(*by).agg(F.min(F.struct("range", "upto", "n", "docs", "rest")).alias("e"))
+        edges = {(r.mixture, r.source): r.e for r in edge.collect()}  # one row a target
+        for k in left.keys() - edges.keys():  # rounding: the whole range
+            found[k] = replace(plans[k], cut_pos=(left[k][0] + 1 << POSITION_BITS - bits) - 1, cut_hash=(1 << 63) - 1, cut_doc=(1 << 63) - 1)
+        bits += step
+        left = {}
+        for k, e in edges.items():
+            rest = e.rest - e.upto + e.n
+            if e.docs <= cut_rows or bits == POSITION_BITS:
+                small[k] = (e.range, rest, bits)
+            else:
+                left[k] = (e.range, rest)
+    for bits in sorted({b for *_, b in small.values()}):
+        part = {k: (lead, rest) for k, (lead, rest, b) in small.items() if b == bits}
+        inside = Window.partitionBy(*by).orderBy("pos", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # at most cut_rows rows, or one block
+        run = ranges(part).withColumn("upto", F.sum("n_tokens").over(inside))
+        # the cut that comes nearest to what is left: a document stays if most of it fits
+        last = run.filter(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).groupBy(*by).agg(F.max(F.struct("pos", "hash", "doc_id")).alias("d"))
+        ends = {(r.mixture, r.source): r.d for r in last.collect()}  # one row a target
+        for k, (lead, _) in part.items():
+            d = ends.get(k)
+            found[k] = replace(plans[k], cut_pos=d.pos, cut_hash=d.hash, cut_doc=d.doc_id) if d else replace(plans[k], cut_pos=(lead << POSITION_BITS - bits) - 1)
+    return [found.get((x.mixture, x.source), x) for x in lines]
+
+
+def tokenized(documents: DataFrame, *, folder: str = TOKENIZER_DIR, name: str = RANK_FILE) -> DataFrame:
+    """doc_id, source, n_tokens of each document that has a source and a token."""
     d = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    n = count_tokens(d, keep=["doc_id", "source"], folder=folder, name=name).filter(F.col("n_tokens") > 0)
-    block, h = _place(seed)
-    return n.withColumns({"block": block, "hash": h})
+    return count_tokens(d, keep=["doc_id", "source"], folder=folder, name=name).filter(F.col("n_tokens") > 0)
 
 
-def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False) -> list[Line]:
-    """The plan of every mixture for tokenized documents. ``budget``: tokens of each mix, by default :func:`best_budget`; see :func:`plan_shares`."""
+def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False, max_miss: float = MAX_MISS, seed: int = 0) -> list[Line]:
+    """The plan of every mixture for tokenized documents. ``budget``: tokens of each mix, by default :func:`largest_budget`; see :func:`plan_shares`."""
     lines = read_targets(mixture_targets)
     names = sorted({x.source for x in lines})
     if not names:
@@ -251,18 +295,17 @@ def mix_plan(docs: DataFrame, mixture_targets: DataFrame, *, budget: float | Non
     lines = [replace(x, tokens=size.get(x.source, (0, 0))[0], docs=size.get(x.source, (0, 0))[1]) for x in lines]
     planned: list[Line] = []
     for m in dict.fromkeys(x.mixture for x in lines):
-        planned += plan_shares([x for x in lines if x.mixture == m], budget, temperature=temperature)
-    return _cuts(docs, planned)
+        planned += plan_shares([x for x in lines if x.mixture == m], budget, temperature=temperature, max_miss=max_miss)
+    return _cuts(docs, planned, seed)
 
 
-def choose(docs: DataFrame, plan: list[Line]) -> DataFrame:
+def choose(docs: DataFrame, plan: list[Line], seed: int = 0) -> DataFrame:
     """mixture, source, doc_id, copies, n_tokens: every chosen document with the number of its copies."""
-    spark = docs.sparkSession
-    rows = [(x.mixture, x.source, x.target, x.cap, x.tokens, x.docs, x.share, x.exponent, x.budget, x.passes, x.rest, x.cut_block, x.cut_hash, x.cut_doc) for x in plan]
-    p = F.broadcast(spark.createDataFrame(rows, PLAN).select("mixture", "source", "passes", "cut_block", "cut_hash", "cut_doc"))  # at most MAX_TARGETS rows
-    in_last = (F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.struct("hash", "doc_id") <= F.struct(F.col("cut_hash").alias("hash"), F.col("cut_doc").alias("doc_id"))))
+    p = docs.sparkSession.createDataFrame(_rows(plan), PLAN).select("mixture", "source", "passes", "blocks", "cut_pos", "cut_hash", "cut_doc")
+    placed = _positions(docs, p, seed)
+    in_last = F.struct("pos", "hash", "doc_id") <= F.struct(F.col("cut_pos").alias("pos"), F.col("cut_hash").alias("hash"), F.col("cut_doc").alias("doc_id"))
     copies = F.col("passes") + F.when(in_last, 1).otherwise(0)
-    return docs.join(p, "source").select("mixture", "source", "doc_id", copies.cast("int").alias("copies"), "n_tokens").filter(F.col("copies") > 0)
+    return placed.select("mixture", "source", "doc_id", copies.cast("int").alias("copies"), "n_tokens").filter(F.col("copies") > 0)
 
 
 def report(chosen: DataFrame, plan: list[Line]) -> DataFrame:
@@ -277,16 +320,16 @@ def report(chosen: DataFrame, plan: list[Line]) -> DataFrame:
     return full.withColumn("actual_share", F.when(all_tokens > 0, F.col("mixed_tokens") / all_tokens).otherwise(0.0)).withColumn("repeats", F.when(F.col("source_tokens") > 0, F.col("mixed_tokens") / F.col("source_tokens")).otherwise(0.0))
 
 
-def mix(documents: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False, seed: int = 0, folder: str = TOKENIZER_DIR, name: str = RANK_FILE) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, mixture_targets: DataFrame, *, budget: float | None = None, temperature: bool = False, max_miss: float = MAX_MISS, seed: int = 0, folder: str = TOKENIZER_DIR, name: str = RANK_FILE) -> tuple[DataFrame, DataFrame]:
     """(chosen documents, report). Documents without text, tokens or source are never chosen.
 
     doc_id is unique; a repeated row would be one more document of its source.
     Mixtures whose sources all lack tokens choose nothing and report zeros.
     """
-    docs = cut(tokenized(documents, folder=folder, name=name, seed=seed))
-    plan = mix_plan(docs, mixture_targets, budget=budget, temperature=temperature)
+    docs = cut(tokenized(documents, folder=folder, name=name))
+    plan = mix_plan(docs, mixture_targets, budget=budget, temperature=temperature, max_miss=max_miss, seed=seed)
     if not plan:
         empty = docs.select(F.lit("").alias("mixture"), "source", "doc_id", F.lit(0).alias("copies"), "n_tokens").limit(0)
         return empty, report(empty, [])
-    chosen = choose(docs, plan)
+    chosen = choose(docs, plan, seed)
     return chosen, report(chosen, plan)

@@ -53,11 +53,19 @@ def p7_temperature(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mixture_targets"), temperature=True)[1]
 
 
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The targets as they are read, with the documents that each source has to offer."""
+    t = [(x.mixture, x.source, x.target, -1 if x.cap is None else x.cap) for x in mixing.read_targets(table(spark, d, "mixture_targets"))]
+    docs = table(spark, d, "documents").filter("text <> ''").groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    targets = spark.createDataFrame(t, "mixture string, source string, target_share double, max_repeats int")
+    return targets.join(docs, "source", "left").select("mixture", "source", F.round("target_share", 9).alias("target_share"), "max_repeats", F.coalesce("n", F.lit(0)).alias("source_docs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_collapsed, p3_found, p3_values, p6_ids, p7_shares, p7_documents, p7_temperature, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p1_collapsed, p3_found, p3_values, p6_ids, p7_shares, p7_documents, p7_temperature, p7_targets, p8_found)}
 
 _RUNS = """
 WITH latest AS (
@@ -94,7 +102,11 @@ cluster_rank AS (
   FROM latest WHERE rn = 1 AND feature_id >= 0 AND score > 0 AND NOT isnan(score) AND NOT isinf(score)),
 both_in AS (SELECT * FROM step_rank UNION ALL SELECT * FROM cluster_rank)
 """
+_NAME = "replace(regexp_replace(lower(source), '\\s+', '', 'g'), '-', '_')"
 ORACLE = {
+    "p7_targets": f"""WITH t AS (SELECT mixture, {_NAME} AS source, max(weight) AS w, min(max_repeats) AS cap FROM mixture_targets WHERE mixture IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+      d AS (SELECT {_NAME} AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY ALL)
+      SELECT mixture, source, round(w / sum(w) OVER (PARTITION BY mixture), 9) AS target_share, coalesce(cap, -1) AS max_repeats, coalesce(n, 0) AS source_docs FROM t LEFT JOIN d USING (source)""",
     "p1_found": _RUNS + "SELECT run_id, episode_num, first_step, last_step FROM runs WHERE n_steps >= 2",
     "p1_runs": _RUNS + "SELECT * FROM runs WHERE n_steps >= 2",
     "p1_collapsed": _RUNS + "SELECT run_id, episode_num, first_step, last_step, n_steps FROM runs",

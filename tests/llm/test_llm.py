@@ -158,7 +158,7 @@ def test_mix_meets_weights_within_a_document_and_keeps_caps(spark):
     docs = [(i, "word " * r.randint(5, 40), ("Big", "mid ", "SMALL-one")[0 if i < 900 else 1 if i < 990 else 2], 1, "m", 1, 1) for i in range(1000)]
     docs += [(2000, None, "big", 1, "m", 1, 1), (2001, "", "big", 1, "m", 1, 1), (2002, "no source", None, 1, "m", 1, 1), (2003, "left out", "other", 1, "m", 1, 1)]
     targets = [("m", "big", 5.0, 1), ("m", "mid", 3.0, 4), ("m", "small_one", 2.0, 4), ("m", "Small_One ", 2.0, 4), ("m", "absent", 1.0, None), ("m", None, 1.0, 1), ("n", "absent", 1.0, None), ("z", "big", math.nan, None)]
-    chosen, rep = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS))
+    chosen, rep = mixing.mix(spark.createDataFrame(docs, DOCS), spark.createDataFrame(targets, TARGETS), max_miss=0.0)
     rows = {(x.mixture, x.source): x for x in rep.collect()}
     got = [tuple(x) for x in chosen.select("mixture", "source", "doc_id", "copies").collect()]
     assert len(got) == len({x[:3] for x in got}) and not {x[2] for x in got} & {2000, 2001, 2002, 2003}
