@@ -1,67 +1,121 @@
 """Deeply nested records as flat tables with parent-child links.
 
-Method: Merkle identities. Every record of a snapshot is canonicalised and
-hashed bottom-up: a node's hash covers its own content and the hashes of the
-records below it. Two tables come out: ``nodes`` holds each distinct record
-once under its hash, ``bridge`` holds a row for each place in which a record
-stands (snapshot, kind, parent, key or position, ordinal), so that the original
-nesting can be rebuilt from both.
-
-A snapshot is decoded in one pass over Arrow batches. Its records never leave
-the task that reads it; only distinct nodes are shuffled, by hash.
+Method: Merkle identities. Every object of a snapshot, at any depth, is
+canonicalised and hashed bottom-up: in a node's content a nested object is
+replaced by its hash, so a hash covers all that lies below. Two tables come
+out: ``nodes`` holds each distinct object once under its hash, ``bridge`` holds
+a row for each place in which one stands (snapshot, kind, parent, key or
+position, ordinal), so that the original nesting can be rebuilt from both.
+Parts with a known meaning (scene objects, contacts, robots, ...) have a kind
+of their own; every other object is an ``object`` under the one around it.
+
+A snapshot is decoded in one pass over Arrow batches, which gives the rows of
+both tables. They meet again by (salt, hash): the salt comes from the snapshot
+and spreads an object that stands in a great part of all snapshots.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
+import re
+import zlib
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BRIDGE = T.StructType(
-    [
-        T.StructField("snapshot_id", T.LongType()),
-        T.StructField("child_kind", T.StringType()),
-        T.StructField("parent_key", T.StringType()),
-        T.StructField("child_key", T.StringType()),
-        T.StructField("ordinal", T.IntegerType()),
-        T.StructField("parent_hash", T.StringType()),
-        T.StructField("child_hash", T.StringType()),
-        T.StructField("content", T.StringType()),
-    ]
-)
+
+BRIDGE = "snapshot_id long, salt int, child_kind string, parent_key string, child_key string, ordinal int, parent_hash string, child_hash string, content string"
 BATCH_ROWS = 20_000
+#: Parts into which the occurrences of one object are spread; contents a task remembers as sent.
+SALTS, SENT = 64, 200_000
 MISSING = object()
-
-
-def canonical_json(value: Any) -> str:
-    """One text for equal values: sorted keys, no blanks; NaN and infinities by name."""
-    try:
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except RecursionError:  # nested deeper than the interpreter goes: one marker for all of these
-        return '"too deep"'
+CONTAINERS = frozenset((dict, list))
+_number = re.compile(r"-?(?:0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?")
+_blank = re.compile(r"[ \t\n\r]*")
+_dumps = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode
+# The names that JSON texts hold besides strings and numbers.
+NAMES = {"null": None, "true": True, "false": False, "NaN": math.nan, "Infinity": math.inf, "-Infinity": -math.inf}
 
 
 def node_hash(kind: str, content: str, children: list[tuple[str, str, str]]) -> str:
-    """children: (kind, key, hash) in order."""
-    h = hashlib.sha256(f"{kind}\n{content}".encode("utf-8", "surrogatepass"))
+    """128 bits as hex. children: (kind, key, hash) in order."""
+    h = hashlib.blake2b(f"{kind}\n{content}".encode("utf-8", "surrogatepass"), digest_size=16)
     for part in children:
         h.update("\0".join(("", *part)).encode("utf-8", "surrogatepass"))
     return h.hexdigest()
 
 
+def parse_deep(text: str) -> Any:
+    """The value of a JSON text of any depth, without recursion; ValueError if it isn't complete JSON."""
+    top: list = []
+    stack: list[Any] = [top]
+    keys: list[str] = []
+    at, want = _blank.match(text).end(), "value"  # value, value or end, key, key or end, comma
+    while True:
+        c = text[at : at + 1]
+        box = stack[-1]
+        if want == "comma":
+            if box is top:
+                break
+            if c == ",":
+                want = "key" if type(box) is dict else "value"
+            elif c == ("}" if type(box) is dict else "]"):
+                stack.pop()
+            else:
+                raise ValueError(at)
+            at = _blank.match(text, at + 1).end()
+            continue
+        if c and c == {"key or end": "}", "value or end": "]"}.get(want):
+            stack.pop()
+            at, want = _blank.match(text, at + 1).end(), "comma"
+            continue
+        if want.startswith("key"):
+            if c != '"':
+                raise ValueError(at)
+            key, at = json.decoder.scanstring(text, at + 1)
+            at = _blank.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError(at)
+            keys.append(key)
+            at, want = _blank.match(text, at + 1).end(), "value"
+            continue
+        want = "comma"
+        if c == '"':
+            v, at = json.decoder.scanstring(text, at + 1)
+        elif c and c in "{[":
+            v, want, at = ({}, "key or end", at + 1) if c == "{" else ([], "value or end", at + 1)
+        elif name := next((n for n in NAMES if text.startswith(n, at)), None):
+            v, at = NAMES[name], at + len(name)
+        elif m := _number.match(text, at):
+            v, at = (float if m[1] or m[2] else int)(m[0]), m.end()
+        else:
+            raise ValueError(at)
+        if type(box) is dict:
+            box[keys.pop()] = v
+        else:
+            box.append(v)
+        if want != "comma":
+            stack.append(v)
+        at = _blank.match(text, at).end()
+    if at < len(text):
+        raise ValueError(at)
+    return top[0]
+
+
 def read_json(text: Any) -> Any:
     """The value of a JSON text, also if it is wrapped in JSON strings; MISSING if it isn't complete JSON."""
     try:
         while isinstance(text, str):
-            text = json.loads(text)
+            try:
+                text = json.loads(text)
+            except RecursionError:
+                text = parse_deep(text)
         return text
-    except (ValueError, RecursionError):
+    except ValueError:
         return MISSING
 
 
@@ -120,12 +174,56 @@ def _rest(state: dict) -> dict:
     return out
 
 
+def _holds(v: Any) -> bool:
+    """Is this an object, or a list that holds lists or objects? An empty object is written in place."""
+    return (type(v) is dict and bool(v)) or (type(v) is list and not CONTAINERS.isdisjoint(map(type, v)))
+
+
+def content_of(value: Any) -> tuple[str, list[tuple]]:
+    """Canonical text of a record, and the objects right below it: sorted keys, no blanks, each nested object as its hash.
+
+    An object below is (kind, key, ordinal, hash, content, objects below); its
+    key is its path inside the object around it. Works bottom-up without recursion.
+    """
+    if not _holds(value) or (type(value) is dict and not any(map(_holds, value.values()))):
+        return _dumps(value), []
+    # a frame: (is it an object, its path, what is still to come, parts so far, objects below, text before its value)
+    frames: list[tuple] = []
+
+    def enter(v: Any, path: str, below: list, before: str) -> None:
+        if type(v) is dict:
+            frames.append((True, path, iter(sorted(v.items())), [], [], before))
+        else:
+            frames.append((False, path, iter(enumerate(v)), [], below, before))
+
+    enter(value, "", [], "")
+    while True:
+        is_object, path, rest, parts, below, before = frames[-1]
+        for k, v in rest:
+            name = _dumps(k) + ":" if is_object else ""
+            if _holds(v):
+                enter(v, str(k) if is_object else f"{path}.{k}" if path else str(k), below, name)
+                break
+            parts.append(name + _dumps(v))
+        else:
+            frames.pop()
+            text = ("{%s}" if is_object else "[%s]") % ",".join(parts)
+            if not frames:
+                return text, below
+            if is_object:
+                h, up = node_hash("object", text, []), frames[-1][4]
+                up.append(("object", path, len(up), h, text, below))
+                text = '{"#":"%s"}' % h
+            frames[-1][3].append(before + text)
+
+
 class Decoder:
-    """Turns a snapshot into records. add() keeps a record and gives its hash; children come before parents."""
+    """Turns a snapshot into records; children come before parents."""
 
     def __init__(self, with_content: bool) -> None:
         self.with_content = with_content
         self.rows: list[tuple] = []
+        self.sent: set[tuple[int, str]] = set()
 
     def snapshot(self, snapshot_id: Any, json_state: str | None, robots: list | None, observables: str | None) -> None:
         top: list[tuple] = []
@@ -133,11 +231,11 @@ class Decoder:
         if isinstance(state, dict):
             for kind, key in (("scene_object", "objects"), ("fixture", "fixtures")):
                 for i, (name, v) in enumerate(_named(_get(state, key))):
-                    top.append(self.leaf(kind, "", name, i, v))
+                    top.append(self.leaf(kind, name, i, v))
             for i, v in _listed(_get(_get(state, "contact_and_grasp"), "contacts")):
                 top.append(self.contact(i, v))
             for i, v in _listed(_get(_get(state, "goals"), "goal_predicates")):
-                top.append(self.leaf("goal_predicate", "", str(i), i, v))
+                top.append(self.leaf("goal_predicate", str(i), i, v))
         for i, r in enumerate(robots or []):
             if r is not None:
                 top.append(self.robot(i, r))
@@ -145,51 +243,53 @@ class Decoder:
         if isinstance(seen, dict):
             for i, (name, v) in enumerate(_keyed(seen)):
                 top.append(self.observable(name, i, v))
-        rest = canonical_json(_rest(state) if isinstance(state, dict) else None)
-        root = node_hash("snapshot", rest, [(r[0], r[2], r[4]) for r in top])
-        self.rows.append((snapshot_id, "snapshot", "", "", 0, "", root, rest if self.with_content else None))
-        for kind, parent, key, ordinal, child, content, below in top:
-            self.rows.append((snapshot_id, kind, parent, key, ordinal, root, child, content))
-            for k2, p2, key2, o2, c2, content2 in below:
-                self.rows.append((snapshot_id, k2, p2, key2, o2, child, c2, content2))
-
-    def leaf(self, kind: str, parent: str, key: str, ordinal: int, value: Any, below: list[tuple] | None = None) -> tuple:
-        content = canonical_json(value)
+        root = self.leaf("snapshot", "", 0, _rest(state) if isinstance(state, dict) else None, top)
+        salt = zlib.crc32(str(snapshot_id).encode()) % SALTS
+        todo = [("", "", root)]
+        while todo:
+            parent_hash, parent_key, (kind, key, ordinal, h, content, below) = todo.pop()
+            first = self.with_content and (salt, h) not in self.sent
+            if first:
+                if len(self.sent) >= SENT:
+                    self.sent.clear()
+                self.sent.add((salt, h))
+            self.rows.append((snapshot_id, salt, kind, parent_key, key, ordinal, parent_hash, h, content if first else None))
+            todo += [(h, key, b) for b in below]
+
+    def leaf(self, kind: str, key: str, ordinal: int, value: Any, below: list[tuple] | None = None) -> tuple:
+        content, nested = content_of(value)
         below = below or []
-        return (kind, parent, key, ordinal, node_hash(kind, content, [(b[0], b[2], b[4]) for b in below]), content if self.with_content else None, below)
-
-    def child(self, kind: str, parent: str, key: str, ordinal: int, value: Any) -> tuple:
-        return self.leaf(kind, parent, key, ordinal, value)[:6]
+        return (kind, key, ordinal, node_hash(kind, content, [(b[0], b[1], b[3]) for b in below]), content, below + nested)
 
     def contact(self, i: int, v: dict) -> tuple:
         below = []
         for side in ("geom1_owners", "geom2_owners"):
             for pos, owner in _owners(v.get(side)):
-                below.append(self.child("contact_owner", str(i), f"{side}.{pos}", pos, owner))
-        return self.leaf("contact", "", str(i), i, {k: x for k, x in v.items() if k not in ("geom1_owners", "geom2_owners")}, below)
+                below.append(self.leaf("contact_owner", f"{side}.{pos}", pos, owner))
+        return self.leaf("contact", str(i), i, {k: x for k, x in v.items() if k not in ("geom1_owners", "geom2_owners")}, below)
 
     def robot(self, i: int, r: dict) -> tuple:
-        p, below = str(i), []
+        below = []
         for n, (k, x) in enumerate(r.get("controller_fields") or []):
             if x is not None:
-                below.append(self.child("controller_field", p, k, n, x))
+                below.append(self.leaf("controller_field", k, n, x))
         for n, f in enumerate(r.get("robot_fields") or []):
-            if f is not None:
-                below.append(self.child("robot_field", p, f.get("field_name"), n, f.get("field_values")))
+            if f is not None and f.get("field_name") is not None:
+                below.append(self.leaf("robot_field", f.get("field_name"), n, f.get("field_values")))
         for n, (k, x) in enumerate(r.get("gripper_fields") or []):
             if x is not None:
-                below.append(self.child("gripper_field", p, k, n, x))
+                below.append(self.leaf("gripper_field", k, n, x))
         own = {k: r.get(k) for k in ("robot_type", "controller_type", "gripper_type")}
-        return self.leaf("robot", "", p, i, own, [b for b in below if b[2] is not None])
+        return self.leaf("robot", str(i), i, own, below)
 
     def observable(self, name: str, i: int, v: dict) -> tuple:
         fields = _part(v.get("fields"))
-        below = [self.child("observable_field", name, k, n, x) for n, (k, x) in enumerate(fields.items() if isinstance(fields, dict) else []) if _part(x) is not None]
-        return self.leaf("observable", "", name, i, {k: x for k, x in v.items() if k != "fields"}, below)
+        below = [self.leaf("observable_field", k, n, x) for n, (k, x) in enumerate(fields.items() if isinstance(fields, dict) else []) if _part(x) is not None]
+        return self.leaf("observable", name, i, {k: x for k, x in v.items() if k != "fields"}, below)
 
 
 def _decode(with_content: bool):
-    schema = pa.schema([("snapshot_id", pa.int64()), ("child_kind", pa.string()), ("parent_key", pa.string()), ("child_key", pa.string()), ("ordinal", pa.int32()), ("parent_hash", pa.string()), ("child_hash", pa.string()), ("content", pa.string())])
+    schema = pa.schema([("snapshot_id", pa.int64()), ("salt", pa.int32()), ("child_kind", pa.string()), ("parent_key", pa.string()), ("child_key", pa.string()), ("ordinal", pa.int32()), ("parent_hash", pa.string()), ("child_hash", pa.string()), ("content", pa.string())])
 
     def clean(s: Any) -> Any:  # a lone surrogate cannot be stored as UTF-8
         return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
@@ -216,22 +316,38 @@ def _decode(with_content: bool):
 
 
 def flatten_snapshots(snapshots: DataFrame, *, content: bool = True) -> DataFrame:
-    """A row for each record of each snapshot, under its parent; see BRIDGE. ``content`` adds its canonical JSON.
-
-    Null, unreadable and truncated texts give the snapshot's own row only, as
-    far as no other part can be read. Null elements keep their position and
-    give no row. Rows with a null snapshot_id are kept under null. Repeated
-    rows of a snapshot repeat its records; see :func:`found_records`.
+    """A row for each object of each snapshot, under its parent; see BRIDGE.
+
+    ``content`` adds its canonical JSON to the first rows in which a task meets
+    it, and leaves it null in the others. Null, unreadable and truncated texts
+    give the snapshot's own row only, as far as no other part can be read. Null
+    elements keep their position and give no row. Rows with a null snapshot_id
+    are kept under null. Repeated rows of a snapshot repeat its records; see
+    :func:`found_records`. JSON may be nested to any depth.
     """
     part = snapshots.select("snapshot_id", "json_state", "robots", "observables")
     return part.mapInArrow(_decode(content), BRIDGE)
 
 
-def distinct_nodes(bridge: DataFrame) -> DataFrame:
-    """Each record once: node_hash, kind, content, and the number of its occurrences."""
-    return bridge.groupBy(F.col("child_hash").alias("node_hash"), F.col("child_kind").alias("kind")).agg(F.first("content", ignorenulls=True).alias("content"), F.count(F.lit(1)).alias("occurrences"))
+def distinct_nodes(decoded: DataFrame) -> DataFrame:
+    """Each object once: node_hash, kind, content, and the number of its occurrences."""
+    return decoded.groupBy(F.col("child_hash").alias("node_hash"), F.col("child_kind").alias("kind")).agg(F.first("content", ignorenulls=True).alias("content"), F.count(F.lit(1)).alias("occurrences"))
+
+
+def occurrences(decoded: DataFrame) -> DataFrame:
+    """The bridge joined to its nodes: each place with the kind of the node that stands there.
+
+    Decoded rows are shuffled once, by (salt, hash); both sides of the join read
+    that shuffle, and the nodes are made from it without another one.
+    """
+    placed = decoded.select("salt", "child_hash", F.struct("snapshot_id", "child_kind", "parent_key", "child_key", "ordinal", "parent_hash").alias("place")).repartition("salt", "child_hash")
+    nodes = placed.groupBy("salt", "child_hash").agg(F.first("place.child_kind").alias("kind"))
+    p = F.col("place")
+    bridge = placed.select("salt", "child_hash", p["snapshot_id"].alias("snapshot_id"), p["parent_key"].alias("parent_key"), p["child_key"].alias("child_key"), p["ordinal"].alias("ordinal"), p["parent_hash"].alias("parent_hash"))
+    return bridge.join(nodes.hint("merge"), ["salt", "child_hash"])
 
 
-def found_records(bridge: DataFrame) -> DataFrame:
-    """The occurrences without repeats, the snapshots' own rows left out."""
-    return bridge.filter(F.col("child_kind") != "snapshot").select("snapshot_id", "child_kind", "parent_key", "child_key").distinct()
+def found_records(decoded: DataFrame) -> DataFrame:
+    """The occurrences of records with a kind of their own, without repeats and the snapshots' own rows."""
+    o = occurrences(decoded).filter(~F.col("kind").isin("snapshot", "object"))
+    return o.select("snapshot_id", F.col("kind").alias("child_kind"), "parent_key", "child_key").distinct()

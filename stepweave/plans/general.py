@@ -13,12 +13,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.found_records(nested.flatten_snapshots(table(spark, d, "telemetry_snapshots"), content=False))
 
 
+def p2_robots(spark: SparkSession, d: str) -> DataFrame:
+    """The records of p2_found that come from the typed column, which SQL can take apart as well."""
+    return p2_found(spark, d).filter(F.col("child_kind").isin("robot", "controller_field", "robot_field", "gripper_field"))
+
+
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.distinct_nodes(nested.flatten_snapshots(table(spark, d, "telemetry_snapshots")))
 
 
 def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flatten_snapshots(table(spark, d, "telemetry_snapshots"), content=False).drop("content").distinct()
+    return nested.flatten_snapshots(table(spark, d, "telemetry_snapshots"), content=False).drop("salt", "content").distinct()
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +51,7 @@ def p5_summary(spark: SparkSession, d: str) -> DataFrame:
     return _differences(spark, d).groupBy("diff_field").agg(F.count(F.lit(1)).alias("samples"), F.count_distinct("pair_id").alias("pairs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_bridge, p4_found, p4_report, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_robots, p2_nodes, p2_bridge, p4_found, p4_report, p5_found, p5_summary)}
 
 
 def sql_path(c: str) -> str:
@@ -108,6 +113,11 @@ diffs AS (
   UNION ALL SELECT p, s, 'reward' FROM both_in WHERE d4 UNION ALL SELECT p, s, 'done' FROM both_in WHERE d5)
 """
 ORACLE = {
+    "p2_robots": """WITH r AS (SELECT snapshot_id, unnest(robots) AS r, CAST(generate_subscripts(robots, 1) - 1 AS VARCHAR) AS i FROM telemetry_snapshots),
+      c AS (SELECT snapshot_id, i, unnest(map_entries(r.controller_fields)) AS e FROM r), g AS (SELECT snapshot_id, i, unnest(map_entries(r.gripper_fields)) AS e FROM r), f AS (SELECT snapshot_id, i, unnest(r.robot_fields) AS e FROM r)
+      SELECT snapshot_id, 'robot' AS child_kind, '' AS parent_key, i AS child_key FROM r WHERE r IS NOT NULL
+      UNION SELECT snapshot_id, 'controller_field', i, e.key FROM c WHERE e.value IS NOT NULL UNION SELECT snapshot_id, 'gripper_field', i, e.key FROM g WHERE e.value IS NOT NULL
+      UNION SELECT snapshot_id, 'robot_field', i, e.field_name FROM f WHERE e.field_name IS NOT NULL""",
     "p4_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_field, ref_id, ref_pos FROM orphans",
     "p4_report": _ORPHANS + "SELECT ref_table, ref_field, month, count(DISTINCT (ref_id, ref_pos)) AS orphans, count(DISTINCT key) AS missing_keys FROM orphans GROUP BY ALL",
     "p5_found": _DIFF + "SELECT pair_id, sample_step, diff_field FROM diffs",

@@ -123,3 +123,43 @@ def test_same_cases_as_a_plain_walk_over_the_data(spark):
                 want |= {(s.snapshot_id, "observable_field", k, f) for f, x in (part(v, "fields") or {}).items() if x is not None}
     got = nested.found_records(nested.flatten_snapshots(table(spark, SMALL, "telemetry_snapshots"))).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_objects_at_any_depth_are_nodes(spark):
+    inner = {"z": [1, [2, {"deep": {"q": {}}}]], "a": None}
+    state = {"objects": {"a": {"links": [inner, inner], "pose": inner}}, "extra": {"pose": inner}}
+    df = spark.createDataFrame([(1, json.dumps(state), None, None, "x", 1)], SCHEMA)
+    decoded = nested.flatten_snapshots(df)
+    nodes = {r.node_hash: r for r in nested.distinct_nodes(decoded).collect()}
+    rows = decoded.collect()
+    same = {r.child_hash for r in rows if r.child_key in ("links.0", "links.1", "pose")}
+    assert len(same) == 1 and nodes[same.pop()].occurrences == 4
+    assert {(r.parent_key, r.child_key) for r in rows if r.child_kind == "object"} == {("a", "links.0"), ("a", "links.1"), ("a", "pose"), ("", "extra"), ("extra", "pose"), ("links.0", "z.1.1"), ("links.1", "z.1.1"), ("pose", "z.1.1"), ("z.1.1", "deep")}
+
+    def built(h):
+        return json.loads(nodes[h].content, object_hook=lambda d: built(d["#"]) if set(d) == {"#"} else d)
+
+    assert built(next(r.child_hash for r in rows if r.child_kind == "scene_object")) == state["objects"]["a"]
+
+
+def test_very_deep_texts_are_read_and_stay_apart(spark):
+    def text(leaf, open_="[", close="]"):
+        return '{"objects": {"a": {"v": ' + open_ * 50_000 + leaf + close * 50_000 + "}}}"
+
+    assert records(spark, text("1")) == {("scene_object", "", "a")}
+    assert records(spark, text("1")[:-1]) == set()
+    assert records(spark, text("1", '{"k":', "}")) == {("scene_object", "", "a")}
+    hashes = [nested.content_of(nested.read_json(text(x)))[0] for x in ("1", "2", "1")]
+    assert hashes[0] == hashes[2] != hashes[1]
+
+
+def test_the_deep_parser_reads_like_the_library():
+    good = ['{"a": [1, -2.5e3, "x\\n", null, true, false, NaN, -Infinity], "b": {}, "c": []}', " [ ] ", '"t"', "0", "[[],{}]"]
+    for t in good:
+        assert str(nested.parse_deep(t)) == str(json.loads(t))
+    for t in ("", "[", "]", "{", '{"a"}', '{"a":}', "[1,]", '{"a":1,}', "[1 2]", "01", "1 2", "nul", '"x', "{1:2}", "[}", '{"a":1]'):
+        try:
+            nested.parse_deep(t)
+        except ValueError:
+            continue
+        raise AssertionError(t)
