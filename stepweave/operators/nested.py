@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.runtime import stored
+
 BRIDGE = "snapshot_id long, salt int, child_kind string, parent_key string, child_key string, ordinal int, parent_hash string, child_hash string, content string"
 BATCH_ROWS = 20_000
 #: Parts into which the occurrences of one object are spread; contents a task remembers as sent.
@@ -334,20 +336,18 @@ def distinct_nodes(decoded: DataFrame) -> DataFrame:
     return decoded.groupBy(F.col("child_hash").alias("node_hash"), F.col("child_kind").alias("kind")).agg(F.first("content", ignorenulls=True).alias("content"), F.count(F.lit(1)).alias("occurrences"))
 
 
-def occurrences(decoded: DataFrame) -> DataFrame:
-    """The bridge joined to its nodes: each place with the kind of the node that stands there.
+def tables(snapshots: DataFrame, *, content: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, bridge) from one pass over the snapshots, which is stored in the checkpoint folder. Nodes are kept once a salt."""
+    decoded = stored(flatten_snapshots(snapshots, content=content).withColumns({c: F.unhex(c) for c in ("parent_hash", "child_hash")}))
+    nodes = decoded.groupBy("salt", F.col("child_hash").alias("node_hash")).agg(F.first("child_kind").alias("kind"), F.first("content", ignorenulls=True).alias("content"), F.count(F.lit(1)).alias("occurrences"))
+    return nodes, decoded.select("snapshot_id", "salt", "parent_key", "child_key", "ordinal", "parent_hash", "child_hash")
 
-    Decoded rows are shuffled once, by (salt, hash); both sides of the join read
-    that shuffle, and the nodes are made from it without another one.
-    """
-    placed = decoded.select("salt", "child_hash", F.struct("snapshot_id", "child_kind", "parent_key", "child_key", "ordinal", "parent_hash").alias("place")).repartition("salt", "child_hash")
-    nodes = placed.groupBy("salt", "child_hash").agg(F.first("place.child_kind").alias("kind"))
-    p = F.col("place")
-    bridge = placed.select("salt", "child_hash", p["snapshot_id"].alias("snapshot_id"), p["parent_key"].alias("parent_key"), p["child_key"].alias("child_key"), p["ordinal"].alias("ordinal"), p["parent_hash"].alias("parent_hash"))
-    return bridge.join(nodes.hint("merge"), ["salt", "child_hash"])
 
+def found_records(snapshots: DataFrame) -> DataFrame:
+    """The places in which records with a kind of their own stand, without repeats and the snapshots' own rows.
 
-def found_records(decoded: DataFrame) -> DataFrame:
-    """The occurrences of records with a kind of their own, without repeats and the snapshots' own rows."""
-    o = occurrences(decoded).filter(~F.col("kind").isin("snapshot", "object"))
-    return o.select("snapshot_id", F.col("kind").alias("child_kind"), "parent_key", "child_key").distinct()
+    The bridge says where a node stands, the nodes say what stands there; they meet by (salt, hash).
+    """
+    nodes, bridge = tables(snapshots, content=False)
+    records = nodes.filter(~F.col("kind").isin("snapshot", "object")).select("salt", F.col("node_hash").alias("child_hash"), F.col("kind").alias("child_kind"))
+    return bridge.join(records, ["salt", "child_hash"]).select("snapshot_id", "child_kind", "parent_key", "child_key").distinct()

@@ -10,7 +10,7 @@ from stepweave.runtime import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.found_records(nested.flatten_snapshots(table(spark, d, "telemetry_snapshots"), content=False))
+    return nested.found_records(table(spark, d, "telemetry_snapshots"))
 
 
 def p2_robots(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ def records(spark, state=None, robots=None, observables=None, sid=1):
     text = state if state is None or isinstance(state, str) else json.dumps(state)
     seen = observables if observables is None or isinstance(observables, str) else json.dumps(observables)
     df = spark.createDataFrame([(sid, text, robots, seen, "x", 1)] * 2, SCHEMA)
-    out = [tuple(r)[1:] for r in nested.found_records(nested.flatten_snapshots(df, content=False)).collect()]
+    out = [tuple(r)[1:] for r in nested.found_records(df).collect()]
     assert len(out) == len(set(out))
     return set(out)
 
@@ -121,7 +121,7 @@ def test_same_cases_as_a_plain_walk_over_the_data(spark):
             if v is not None:
                 want.add((s.snapshot_id, "observable", "", k))
                 want |= {(s.snapshot_id, "observable_field", k, f) for f, x in (part(v, "fields") or {}).items() if x is not None}
-    got = nested.found_records(nested.flatten_snapshots(table(spark, SMALL, "telemetry_snapshots"))).collect()
+    got = nested.found_records(table(spark, SMALL, "telemetry_snapshots")).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
