@@ -13,33 +13,46 @@ import re
 BREAK, KEEP = True, False
 
 # ---- fixed values: abbreviations by language ------------------------------------------------------------------------
+#: Titles, which never end a sentence.
+TITLES = {
+    "en": "Mr Mrs Ms Mx Messrs Dr Drs Prof St Gen Col Capt Lt Sgt Cpl Maj Cmdr Cdr Adm Brig Rev Hon Gov Sen Pres Supt Insp",
+    "de": "Hr Hrn Fr Frl Dr Prof Dipl Fa",
+    "fr": "Mme Mmes Mlle Mlles Mgr Dr Drs Pr Prof St Ste",
+    "es": "Sr Sra Srta Sres Sras Dr Dra Dres Dña Prof Profa Lic Lcdo Lcda Ing Arq Gral Tte Sto Sta Mons Excmo Ilmo",
+    "ru": "проф акад доц канд",
+    "el": "Δρ Καθ",
+}
 #: Never end a sentence.
 ALWAYS = {
-    "en": "Mr Mrs Ms Dr Prof St Gen Col Capt Lt Sgt Rev Hon Mt Ph vs e.g i.e cf approx ca viz Sec Secs Fig Figs Eq Eqs Ref Refs Tab Ch Vol App resp incl excl",
-    "de": "z.B z.T d.h u.a u.U o.ä i.d.R bzw vgl Vgl ca Ca Nr Abb Tab Kap Bd Hr Fr Dr Prof evtl ggf inkl exkl zzgl sog Str Tel Mio Mrd",
-    "fr": "M MM Mme Mmes Mlle Dr Pr St Ste fig figs Fig art Art cf Cf vol chap env ex tél réf tab",
-    "es": "Sr Sra Srta Sres Dr Dra Dña pág págs Pág núm Núm art fig cap vol aprox Ud Uds Prof tel Ing Lic",
-    "ru": "рис Рис табл Табл см См стр гл им ул тыс млн млрд руб напр Напр ср Ср проф акад",
-    "el": "π.χ δηλ βλ Βλ σελ εικ αρ Δρ κ",
+    "en": "mr mrs dr prof gen col capt lt sgt cpl maj cmdr rev gov supt Mt Ph vs e.g i.e cf Cf approx ca viz Sec Secs Fig Figs fig figs Eq Eqs eq eqs Ref Refs Tab Ch Chap chap Vol vol App resp incl excl Dept dept Univ Assn Bros",
+    "de": "z.B z.T d.h u.a u.U o.ä o.Ä i.d.R i.A i.V o.g s.o s.u v.a z.Zt k.A bzw bspw bzgl vgl Vgl ca Ca Nr Nrn Abb Abs Abschn Anm Aufl Bsp Ing Tab Kap Bd Bde evtl ggf gem Hrsg insb insbes inkl exkl zzgl sog Str Tel Mio Mrd max min mind rd",
+    "fr": "M MM Me fig figs Fig art Art cf Cf vol chap env ex p.ex tél réf tab éd trad coll",
+    "es": "pág págs Pág núm Núm art fig figs cap vol aprox Ud Uds Vd Vds tel tfno Av Avda ed coord",
+    "ru": "рис Рис табл Табл см См стр гл им ул тыс млн млрд руб напр Напр ср Ср ред изд разд обл",
+    "el": "π.χ δηλ βλ Βλ σελ εικ πίν κεφ τηλ αρ κ κα",
     "ar": "د أ م ص",
     "hi": "डॉ श्री प्रो पं मि",
 }
 #: Do not end a sentence in front of a digit.
-BEFORE_DIGIT = {"en": "No Nos no nos p pp Art art", "de": "S Art", "fr": "no nos p pp", "es": "p pp n", "ru": "с п д кв", "el": "αρ σ", "ar": "ص", "hi": "सं"}
+BEFORE_DIGIT = {"en": "No Nos no nos p pp Art art al", "de": "S Art", "fr": "no nos p pp", "es": "p pp n", "ru": "с п д кв", "el": "αρ σ", "ar": "ص", "hi": "सं"}
 #: May end a sentence; do so in front of a capital.
 MAY_END = {
-    "en": "etc a.m p.m Jan Feb Aug Sept Oct Nov Dec",
-    "de": "usw etc u.s.w u.a.m",
+    "en": "etc al a.m p.m Jan Feb Aug Sept Oct Nov Dec",
+    "de": "usw usf etc u.s.w u.a.m",
     "fr": "etc",
     "es": "etc",
-    "ru": "др пр т.д т.п т. д т. п",
+    "ru": "др пр т.д т.п",
     "el": "κ.λπ κ.ά κτλ",
 }
 #: Part of a name or place; end a sentence only in front of a word that usually begins one.
 NAME_END = {"en": "Inc Ltd Co Corp Jr Sr U.S U.K U.N"}
 STARTERS = {"en": "The A An In On At As By It Its We They He She This That These Those There Then When While After Before If But And So Once Near Around Per For With Did Do Does Is Are Was Why What How Who Where Which Our Your No Yes"}
 #: A single capital after one of these words is a label, not an initial.
-LABELS = "bench Bench stand Stand Bank bank Tisch Gruppe Halle Raum Typ Klasse Teil Phase Zone Linie table Table group Group part Part panel Panel plan Plan option Option phase layer Layer type Type class Class room Room lab Lab team Team banco mesa grupo banc стенде стенд группе столе"
+LABELS = (
+    "Table Figure Group Part Phase Type Class Room Building Block Section Appendix Annex Exhibit Plan Option Panel Bench Stand Layer Line Zone Gate Terminal Platform Level Unit Team Lab Site Station Lane Row Model Grade "
+    "Tabelle Abbildung Gruppe Teil Typ Klasse Raum Halle Gebäude Abschnitt Anhang Bank Tisch Linie Ebene Reihe Modell Stufe Zone Spalte Ziffer "
+    "Tableau Groupe Partie Type Classe Salle Annexe Ligne Niveau Tabla Grupo Parte Tipo Clase Sala Anexo Mesa Banco Línea Nivel"
+)
 #: A single capital after one of these words is an initial.
 AGENTS = "by and with to from for said asked wrote told et de par pour avec von und mit bei y por con и от с"
 #: Abbreviations of several parts that may be written with blanks inside.
@@ -52,10 +65,26 @@ SAYING_AR = "قال قالت سأل سألت صاح صاحت أجاب أجابت
 SAYING_HI = "कहा बोला बोली पूछा लिखा चिल्लाया"
 
 
-def _any(words: str, split: str = " ") -> str:
-    """An alternation, the longest first; a full stop may be followed by a blank."""
-    parts = sorted({w for w in words.split(split) if w}, key=lambda w: (-len(w), w))
-    return "(?:" + "|".join(w.replace(".", r"\.\s?") for w in parts) + ")"
+def _any(words: str) -> str:
+    """An alternation, the longest first."""
+    return "(?:" + "|".join(sorted(set(words.split()), key=lambda w: (-len(w), w))) + ")"
+
+
+def _spelled(words: str) -> list[str]:
+    """The words with and without blanks after their inner full stops."""
+    return sorted({w.replace(".", f".{blank}") for w in words.split() for blank in ("", " ", "\u00a0", "\u202f", "\n")})
+
+
+def named(langs: tuple[str, ...]) -> dict[str, list[str]]:
+    """The word lists that the rules of these languages look up by name."""
+
+    def of(*tables: dict[str, str]) -> str:
+        return " ".join(t[x] for t in tables for x in langs if x in t)
+
+    always = _spelled(of(TITLES, ALWAYS))
+    lists = {"always": always, "digit": _spelled(of(BEFORE_DIGIT)), "may": _spelled(of(MAY_END)), "name": _spelled(of(NAME_END)), "starter": of(STARTERS).split()}
+    every = [*TITLES.values(), *ALWAYS.values(), *BEFORE_DIGIT.values(), *(a for a, _ in IN_PARTS)]
+    return lists | {"short": sorted({*always, *lists["may"], *"гг вв гв вг".split()}), "refers": _spelled(" ".join(every))}
 
 
 # ---- building blocks ------------------------------------------------------------------------------------------------
@@ -63,16 +92,16 @@ START = r"(?<![\p{L}\p{M}\p{N}_])"  # no word goes on to the left
 CLOSERS = r"""["”’»›)\]}“」』）】》〉]"""
 DONE = r"(?:[.!?…。！？।॥؟۔።፧։]" + CLOSERS + r"*)"  # a finished sentence
 CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
-IDENT = r"(?:[a-z]+_[a-z_]+\b|so{4,}\b)"  # begins a sentence although it isn't capitalised
+IDENT = r"(?:\p{Ll}\w*_\w+|\p{L}*?(?P<twin>\p{L})(?P=twin){3,}\p{L}*)\b"  # an identifier, or a drawn-out word: begins a sentence although it isn't capitalised
 CAPITAL = r"\s*(?:[\p{Lu}\p{Lt}]|[¿¡«„“‘\"(\[]\s?[\p{Lu}\p{Lt}\p{N}¿¡«„“‘])"
 
 #: In front of a number: it belongs to the reference, not to a list.
-REFERS = START + _any(" ".join([*ALWAYS.values(), *BEFORE_DIGIT.values(), *(a for a, _ in IN_PARTS)]))
+REFERS = START + r"\L<refers>"
 
 FIRST = [
     # the plainest cases, decided here as the rules below would decide them: most positions end with these
     (KEEP, r"[\p{Ll}\p{N}]\.", r"[\p{Ll}\p{N}]"),
-    (BREAK, r"\p{Ll}{7}[.!?]", r"\s+\p{Lu}"),
+    (BREAK, START + r"(?!\L<short>\.|[ivx]{1,4}\.)\p{Ll}{2,}[.!?]", r"\s+\p{Lu}"),
     (BREAK, CJK + r"[。！？]", CJK),
     # a mark of punctuation goes on with the sentence
     (KEEP, "", r"\s*[,;:，、；：،؛]"),
@@ -123,21 +152,17 @@ ORDER = ("en", "de", "fr", "es", "ru", "el", "ja", "zh", "ar", "hi", "th", "am",
 
 
 def _abbreviations(langs: tuple[str, ...]) -> list[tuple]:
-    def all_of(table: dict[str, str]) -> str:
-        return " ".join(table[x] for x in langs if x in table)
-
-    may_end = _any("|".join("|".join(MAY_END[x].split()) if x != "ru" else "др|пр|т.д|т.п" for x in langs if x in MAY_END), "|")
     rules = []
-    if may := [x for x in langs if x in MAY_END]:
-        end = START + may_end + r"\."
-        rules += [(BREAK, end, CAPITAL), (BREAK, end, r"\s+" + IDENT), (BREAK, end, r"\s+(?!\p{Ll})"), (KEEP, end, "")] if may else []
+    if any(x in BEFORE_DIGIT for x in langs):
+        rules.append((KEEP, START + r"\L<digit>\.", r"\s*[\p{N}(]"))
+    if any(x in MAY_END for x in langs):
+        end = START + r"\L<may>\."
+        rules += [(BREAK, end, CAPITAL), (BREAK, end, r"\s+" + IDENT), (BREAK, end, r"\s+(?!\p{Ll})"), (KEEP, end, "")]
     if any(x in NAME_END for x in langs):
-        name = START + _any(all_of(NAME_END)) + r"\."
-        rules += [(BREAK, name, r"\s*" + _any(all_of(STARTERS)) + r"\b"), (BREAK, name, r"\s+(?:" + IDENT + r"|[“\"(\[¿¡«])"), (KEEP, name, "")]
-    if always := all_of(ALWAYS):
-        rules.append((KEEP, START + _any(always) + r"\.", ""))
-    if digit := all_of(BEFORE_DIGIT):
-        rules.append((KEEP, START + _any(digit) + r"\.", r"\s*[\p{N}(]"))
+        name = START + r"\L<name>\."
+        rules += [(BREAK, name, r"\s*\L<starter>\b"), (BREAK, name, r"\s+(?:" + IDENT + r"|[“\"(\[¿¡«])"), (KEEP, name, "")]
+    if any(x in ALWAYS for x in langs):
+        rules.append((KEEP, START + r"\L<always>\.", ""))
     return rules
 
 
@@ -166,14 +191,19 @@ LOWER = {True: [(BREAK, r"\.", r"\s+\p{Ll}")], False: [(BREAK, "", r"\s+" + IDEN
 END = [(BREAK, "", r"\s")]
 
 
+def languages(lang: str | None) -> tuple[str, ...]:
+    """The languages whose tables are in force; for a mixed or unknown one, all."""
+    return tuple(dict.fromkeys((lang, "en") if lang in ORDER else ORDER))
+
+
 def cascade(lang: str | None) -> list[tuple[bool, str, str]]:
     """The rules in force for a language; for a mixed or unknown one, those of all languages."""
-    langs = (lang, "en") if lang in ORDER and lang != "en" else ("en",) if lang == "en" else ORDER
+    langs = languages(lang)
     rules = list(FIRST)
-    for x in dict.fromkeys(langs):
+    for x in langs:
         if x != "en":
             rules += OWN.get(x, [])
-    rules += CJK_ALL + _abbreviations(tuple(dict.fromkeys(langs)))
+    rules += CJK_ALL + _abbreviations(langs)
     if lang == "en":
         rules += EN
     return rules + LAST + LOWER[lang == "en"] + END
