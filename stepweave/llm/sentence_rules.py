@@ -8,8 +8,6 @@ everywhere, then the language's own table, then the defaults.
 
 from __future__ import annotations
 
-import re
-
 BREAK, KEEP = True, False
 
 # ---- fixed values: abbreviations by language ------------------------------------------------------------------------
@@ -111,7 +109,7 @@ FIRST = [
     (KEEP, r"(?:\A|(?:" + DONE + r"(?<!" + REFERS + r"\.)|:)\s*[\r\n])[^\S\r\n]*\(?(?:\d{1,3}|\p{L}|[ivxIVX]{1,4})\.", r"\s"),
     (KEEP, r"[!?…]" + CLOSERS + r"*\s+\d{1,2}\.", r"\s+\p{Lu}"),
     # inside an abbreviation of several parts
-    *[(KEEP, START + re.escape(a) + r"\.", r"\s?" + re.escape(b) + r"\.") for a, b in IN_PARTS],
+    (KEEP, START + r"(?=(?:" + "|".join(rf"{a}\.\s?{b}" for a, b in IN_PARTS) + r")\.)\p{L}\.", ""),
 ]
 JA = [
     (KEEP, r"[。！？!?…][」』”’\"]", r"\s*" + _any(AFTER_QUOTE_JA)),

@@ -82,6 +82,7 @@ def language(label: str | None, text: str) -> str | None:
 
 
 DIGITS = "0123456789"
+SMALL = frozenset("abcdefghijklmnopqrstuvwxyz" + DIGITS)
 
 
 @cache
@@ -145,11 +146,16 @@ class Cascade:
     def ends(self, text: str, q: int) -> bool:
         """Does a sentence end at q, inside the text?
 
-        The first rule, which decides most positions, is looked up here: a small
-        word that is no abbreviation, a full stop, white space, a capital.
+        The two first rules, which decide most positions, are looked up here: a
+        full stop inside a number or name, and one that follows a small word
+        that is no abbreviation and is followed by white space and a capital.
         """
-        c, blank = text[q - 1], text[q].isspace()
-        if blank and c == ".":
+        c, after = text[q - 1], text[q]
+        blank = after.isspace()
+        if c == "." and not blank:
+            if after in SMALL and q > 1 and text[q - 2] in SMALL:
+                return False
+        elif c == ".":
             word = text[max(0, q - 32) : q - 1].rsplit(None, 1)
             if len(word) == 2 and (w := word[1]).islower() and w.isalpha() and len(w) > 1 and w not in self.short and not ROMAN.fullmatch(w) and CAPITAL_NEXT.match(text, q):
                 return True
@@ -239,6 +245,7 @@ def paragraph_cuts(text: str, rules: Cascade, other_marks: bool = True) -> list[
     cuts: list[int] = []
     n, k, done = len(text), 0, 0
     spans = outer = opened = None if ANY_SIGN.search(text) else ()
+    guillemet, ends = "»" in text, rules.ends
     for m in (MARKS if other_marks else PLAIN_MARKS).finditer(text):
         q = m.end()
         if q <= done:
@@ -258,14 +265,14 @@ def paragraph_cuts(text: str, rules: Cascade, other_marks: bool = True) -> list[
                     q += 1
                 elif c in TERMINAL:
                     q += 1
-                elif c.isspace() and q + 1 < n and text[q + 1] == "»":
+                elif guillemet and c.isspace() and q + 1 < n and text[q + 1] == "»":
                     q += 2
                 else:
                     break
             done = q
             if q >= n:
                 break
-            if not rules.ends(text, q):
+            if not ends(text, q):
                 continue
         if outer is None:
             spans = pairs(text) if spans is None else spans
