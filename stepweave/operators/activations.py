@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.operators.segments import global_rank, with_neighbour
+
 MAPPINGS = ("inference_step", "action_executed", "chunk_executed")
 
 
@@ -109,3 +111,73 @@ def merge_moments(moments: DataFrame) -> DataFrame:
         total = F.sum(n * mean)
         out += [(total / F.sum("n")).alias(f"mean_{c}"), (F.sum(F.col(f"m2_{c}")) + F.sum(n * mean * mean) - total * total / F.sum("n")).alias(f"m2_{c}")]
     return moments.groupBy("dim").agg(*out)
+
+
+def row_step() -> Column:
+    """The step a stored row stands for: that of its token inside a chunk, else its own; 0 if unknown."""
+    return F.coalesce(F.when(F.col("chunk_start_step") >= 0, F.col("chunk_start_step") + F.col("token_idx")).otherwise(F.col("step_in_episode")), F.lit(0))
+
+
+def drop_reason() -> Column:
+    """Why a row stands for no executed step; null if it does."""
+    c, n, t = (F.col(x) for x in ("chunk_start_step", "executed_chunk_len", "token_idx"))
+    return F.when((c < 0) | (n <= 0), "no_chunk").when(t < 0, "negative_token").when(t >= n, "not_executed")
+
+
+def task_means_of_clusters(windows: DataFrame, task_means: DataFrame, order: str) -> DataFrame:
+    """Task means under every cluster; a cluster's task is that of its first event in ``order``."""
+    tasks = windows.groupBy("cluster").agg(F.min_by("task", order).alias("task"))
+    return tasks.join(task_means, "task")
+
+
+def fidelity_report(rows: DataFrame) -> DataFrame:
+    """One pass over (shard, dim, x, residual, latent): sums per shard and dimension, which merge by adding."""
+    x, r, h = F.col("x"), F.col("residual"), F.col("latent")
+    g = rows.groupBy("shard", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(r).alias("sr"), F.sum(x * x).alias("sxx"), F.sum(r * r).alias("srr"), F.count_if(h != 0).alias("nz"), F.bool_and(~F.isnan(x) & (F.abs(x) < float("inf"))).alias("finite"))
+    d = g.groupBy("dim").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sr", "sxx", "srr", "nz")], F.bool_and("finite").alias("finite"))
+    var_x, var_r = F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")), F.sum(F.col("srr") - F.col("sr") * F.col("sr") / F.col("n"))
+    one = d.agg(F.max("n").alias("num_rows"), (1 - var_r / var_x).alias("frac_variance_explained"), (F.sum("srr") / F.sum("n")).alias("reconstruction_mse"), F.count_if(F.col("nz") > 0).alias("alive_features"), (F.count_if(F.col("nz") > 0) / F.count(F.lit(1))).alias("alive_fraction"), (F.sum("nz") / F.max("n")).alias("mean_l0"), F.bool_and("finite").alias("all_finite"))
+    return one.join(F.broadcast(g.agg(F.count_distinct("shard").alias("num_shards"))))  # one row
+
+
+def forwards_off(index: DataFrame, expected: int) -> DataFrame:
+    """Per run and layer: steps, steps with another number of forwards than expected, and the greatest number."""
+    s = index.groupBy("run_id", "layer_idx", "episode_num", "step_in_episode").agg(F.count_distinct("global_forward_idx").alias("n"))
+    return s.groupBy("run_id", "layer_idx").agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("n") != expected).alias("off_steps"), F.max("n").alias("most"))
+
+
+def interval_tiling(index: DataFrame, shard: list[str]) -> DataFrame:
+    """Per shard: do its intervals lie end to end from 0, and where do they end?
+
+    They do exactly if each starts at 0 or where another ends, and their lengths
+    sum up to the last end: an overlap would make the sum greater, a gap would
+    leave a start loose. No ordered window, so shards of any size spread out.
+    """
+    d = index.filter(F.col("row_end") > F.col("row_start")).select(*shard, "row_start", "row_end").distinct()
+    ends = d.select(*shard, F.col("row_end").alias("row_start"), F.lit(1).alias("met")).distinct()
+    j = d.join(ends, [*shard, "row_start"], "left")
+    loose = (F.col("row_start") != 0) & F.col("met").isNull()
+    tiles = (F.count_if(loose) == 0) & (F.sum((F.col("row_end") - F.col("row_start")).cast("long")) == F.max("row_end"))
+    return j.groupBy(*shard).agg(tiles.alias("tiles"), F.max("row_end").alias("last_row"))
+
+
+def disorder(rows: DataFrame, part: list[str], order: str, key: str) -> DataFrame:
+    """Per part: rows, how often ``key`` decreases along ``order``, and where first (-1: never). ``order`` is unique inside a part."""
+    n = with_neighbour(rows, part, order, [key])
+    down = F.col(key) < F.col(f"prev_{key}")
+    return n.groupBy(*part).agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(down).alias("decreases"), F.coalesce(F.min(F.when(down, F.col(order))), F.lit(-1)).alias("first_at"))
+
+
+def batches(rows: DataFrame, order: list[str], size: int, limit: int | None = None) -> DataFrame:
+    """Rows with the number of their batch: full batches of ``size`` and one tail, of the first ``limit`` rows in order."""
+    r = global_rank(rows, order, "__n")
+    if limit is not None:
+        r = r.filter(F.col("__n") <= limit)
+    return r.withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
+
+
+def index_of_layer(index: DataFrame, layer: int) -> DataFrame:
+    """shard_path, row_start, row_end of one layer, with the place inside the shard. The filter reaches the scan."""
+    i = index.filter((F.col("layer_idx") == layer) & F.col("shard_path").isNotNull()).select("shard_path", "row_start", "row_end").distinct()
+    w = Window.partitionBy("shard_path").orderBy("row_start", "row_end")  # distinct intervals of one file
+    return i.withColumn("position", F.row_number().over(w))

@@ -78,3 +78,18 @@ def strict_lookup(records: DataFrame, lookup: DataFrame, keys: Sequence[str], ag
     for c in agree:
         reason = reason.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(f"mismatch:{c}"))
     return j.withColumn("reason", reason).drop("__known", *[f"__{c}" for c in agree])
+
+
+def without_allowed(differences: DataFrame, allowed: str) -> DataFrame:
+    """Inventory differences without the unexpected files whose path matches a pattern."""
+    return differences.filter(~((F.col("problem") == "unexpected") & F.col("path").rlike(allowed)))
+
+
+def fingerprint(columns: Sequence[str]) -> Column:
+    """SHA-256 of the columns as canonical JSON: names in order, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def key_pattern(word: str) -> str:
+    """A pattern for JSON text with a key that contains the word, in any case."""
+    return '(?i)"[^"]*' + word + r'[^"]*"\s*:'

@@ -130,3 +130,37 @@ def memberships(candidates: DataFrame) -> DataFrame:
 
 def is_active(value: Column) -> Column:
     return (value > 0) & ~F.isnan(value)
+
+
+def member_counts(clusters: DataFrame, events: DataFrame) -> DataFrame:
+    """cluster, members, member_episodes of every cluster; 0 for one without members."""
+    n = events.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.count_distinct("episode").alias("member_episodes"))
+    return clusters.select("cluster").join(n, "cluster", "left").fillna(0, ["members", "member_episodes"])
+
+
+def first_seen(candidates: DataFrame, order: tuple[str, ...], per_ranking: int) -> DataFrame:
+    """feature and the place in the list of all candidates at which it first stands; rankings come in ``order``."""
+    place = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("ranking")).cast("int") - 1
+    return candidates.groupBy("feature").agg(F.min(place * per_ranking + F.col("rank") - 1).alias("first_seen"))
+
+
+def delta_by_feature(episodes: DataFrame, named: DataFrame) -> DataFrame:
+    """Success of the episodes under each feature against that of all, with the rankings that name it. episodes: feature, s (0 or 1)."""
+    base = F.broadcast(episodes.agg(F.avg("s").alias("base")))  # one row
+    r = episodes.groupBy("feature").agg(F.count(F.lit(1)).alias("episodes"), F.avg("s").alias("success_rate")).join(base)
+    j = r.join(named.select("feature", "rankings"), "feature", "left").fillna("", ["rankings"])
+    return j.select("feature", "rankings", "episodes", "success_rate", (F.col("success_rate") - F.col("base")).alias("delta"))
+
+
+def compare_results(raw: DataFrame, hooked: DataFrame, protocol: list[str]) -> DataFrame:
+    """One-row results side by side: n, rate and protocol columns of each; rates compare only under one protocol."""
+    r = raw.select(F.col("n").alias("raw_episodes"), F.col("rate").alias("raw_rate"), F.struct(*protocol).alias("p"))
+    h = hooked.select(F.col("n").alias("hooked_episodes"), F.col("rate").alias("hooked_rate"), F.struct(*protocol).alias("q"))
+    j = r.join(F.broadcast(h))  # one row on either side
+    delta = F.col("hooked_rate") - F.col("raw_rate")
+    return j.select("raw_episodes", "hooked_episodes", "raw_rate", "hooked_rate", delta.alias("delta"), (-delta).alias("success_drop"), F.col("p").eqNullSafe(F.col("q")).alias("same_protocol"))
+
+
+def nested_mean(dims: Column, field: str) -> Column:
+    """Mean of one field over an array of structs."""
+    return F.aggregate(F.transform(dims, lambda x: x[field]), F.lit(0.0), lambda a, x: a + x) / F.size(dims)

@@ -39,6 +39,16 @@ def assemble(steps: DataFrame) -> DataFrame:
     )
 
 
+def assemble_vectors(steps: DataFrame, columns: list[str], *, segment: int = 8192) -> DataFrame:
+    """Ordered vectors of each episode: KEY, ``segment`` and ``vectors``, structs of step and columns in the order of steps.
+
+    An episode of any length comes out as rows of at most ``segment`` steps
+    each, so that no list grows with it. Steps without the columns are left out.
+    """
+    s = steps.dropna(subset=columns).select(*KEY, F.floor(F.col("step") / segment).alias("segment"), F.struct("step", *columns).alias("v"))
+    return s.groupBy(*KEY, "segment").agg(F.array_sort(F.collect_list("v")).alias("vectors"))
+
+
 def filter_episodes(episodes: DataFrame, *, outcome: str = "all", task_description: str | None = None, limit: int | None = None) -> DataFrame:
     """Episodes with at least two positions, by outcome (all, success, failure) and exact task description; the first ``limit`` in order."""
     if outcome not in ("all", "success", "failure"):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stepweave.plans import experiments, general, scores
+from stepweave.plans import experiments, general, scores, strict
 
 FLAGSHIP = "cluster_top_features"
-QUERIES = general.QUERIES | scores.QUERIES | experiments.QUERIES
-ORACLE = general.ORACLE | scores.ORACLE | experiments.ORACLE
+QUERIES = general.QUERIES | scores.QUERIES | experiments.QUERIES | strict.QUERIES
+ORACLE = general.ORACLE | scores.ORACLE | experiments.ORACLE | strict.ORACLE
