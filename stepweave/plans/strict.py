@@ -402,13 +402,13 @@ ORACLE["divergence_rollup"] = f"SELECT * REPLACE (coalesce(task, -1) AS task) FR
 
 @query(
     _TRAJ
-    + "SELECT run_id, episode_num, step // 64 AS segment, count(*) AS n, string_agg(step, ',' ORDER BY step) AS steps, round(sum(eef_pos[1] * (step % 64 + 1)), 3) AS weighted_x FROM steps WHERE eef_pos IS NOT NULL GROUP BY ALL"
+    + "SELECT run_id, episode_num, step // 64 AS segment, count(*) AS n, string_agg(step, ',' ORDER BY step) AS steps, CAST(sum(coalesce(CAST(round_even(CASE WHEN isnan(eef_pos[1]) THEN 0 ELSE eef_pos[1] END * 1e6, 0) AS BIGINT), 0) * (step % 64 + 1)) AS BIGINT) AS weighted_x FROM steps WHERE eef_pos IS NOT NULL GROUP BY ALL"
 )
 def episode_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Ordered vectors of each episode, a bounded segment of steps a row; shown as their steps and a sum that depends on the order."""
     v = tr.assemble_vectors(ex._steps(spark, d), ["eef_pos"], segment=64)
-    weighted = F.aggregate("vectors", F.lit(0.0), lambda a, x: a + x["eef_pos"][0] * (x["step"] % 64 + 1))
-    return v.select(*tr.KEY, F.col("segment").cast("long").alias("segment"), F.size("vectors").cast("long").alias("n"), F.array_join(F.transform("vectors", lambda x: x["step"].cast("string")), ",").alias("steps"), F.round(weighted, 3).alias("weighted_x"))
+    weighted = F.aggregate("vectors", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.rint(F.nanvl(x["eef_pos"][0], F.lit(0.0)) * 1e6).cast("long"), F.lit(0).cast("long")) * (x["step"] % 64 + 1))
+    return v.select(*tr.KEY, F.col("segment").cast("long").alias("segment"), F.size("vectors").cast("long").alias("n"), F.array_join(F.transform("vectors", lambda x: x["step"].cast("string")), ",").alias("steps"), weighted.alias("weighted_x"))
 
 
 # ---- windows, order, sets -------------------------------------------------------------------------------------------
