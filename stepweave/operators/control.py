@@ -4,53 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.vectors import max_abs_delta
-from stepweave.operators.segments import running, with_neighbour
+from stepweave.operators.machines import Detach, Trigger, by_segment, fold_segments
+from stepweave.operators.segments import SEGMENT, running, with_neighbour
 
 
-def release_triggers(steps: DataFrame, keys: Sequence[str], *, stable_steps: int = 3, min_lift: float = 0.01, delay: int = 2) -> DataFrame:
+def release_triggers(steps: DataFrame, keys: Sequence[str], *, stable_steps: int = 3, min_lift: float = 0.01, delay: int = 2, segment: int = SEGMENT) -> DataFrame:
     """Per entity: the earliest trigger and the times of its grasp.
 
     ``steps`` has step, grasped and z. The rule is a state machine: a grasp
     (null counts as none) that has lasted ``stable_steps`` rows and is lifted by
     ``min_lift`` above the first z is eligible; ``delay`` steps after it became
-    so without a break, it triggers. Losing the grasp resets all. Expressed as
-    running sums and maxima, so that an entity of any length spreads out.
+    so without a break, it triggers. Losing the grasp resets all. Rows are
+    shuffled once, by entity and segment; see :mod:`stepweave.operators.machines`.
     Without a trigger, trigger_step and the times are null.
     """
     keys = list(keys)
-    off, on_first = ~F.col("grasped"), F.col("streak") == 1
-    up = F.when(F.col("grasped") & F.col("lifted"), 1).otherwise(0)
-    z0 = steps.groupBy(*keys).agg(F.min_by("z", "step").alias("z0"))
+    rows = by_segment(steps.select(*keys, "step", "grasped", "z"), keys, segment=segment)
+    firsts = rows.groupBy(*keys, "__seg").agg(F.min(F.struct("step", "z")).alias("f"))
+    w = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, 0)  # one row a segment
+    z0 = firsts.select(*keys, "__seg", F.first("f.z").over(w).alias("z0"))
     rise = F.col("z") - F.col("z0")
-    s = steps.join(z0, keys).withColumns({"grasped": F.coalesce("grasped", F.lit(False)), "lifted": F.coalesce((rise >= min_lift) & ~F.isnan(rise), F.lit(False))})
-    s = running(s, keys, "step", {"idx": ("sum", F.lit(1))})
-    s = running(s, keys, "step", {"last_off": ("max", F.when(off, F.col("idx")))})
-    s = s.withColumn("streak", F.when(off, 0).otherwise(F.col("idx") - F.coalesce("last_off", F.lit(0))))
-    s = s.withColumn("eligible", F.col("grasped") & F.col("lifted") & (F.col("streak") >= stable_steps))
-    s = running(
-        s,
-        keys,
-        "step",
-        {
-            "t_grasp": ("max", F.when(on_first, F.col("step"))),
-            "t_stable_grasp": ("max", F.when(F.col("streak") == stable_steps, F.col("step"))),
-            "last_ineligible": ("max", F.when(~F.col("eligible"), F.col("idx"))),
-            "n_up": ("sum", up),
-        },
-    )
-    begins = F.col("eligible") & (F.col("idx") - F.coalesce("last_ineligible", F.lit(0)) == 1)
-    s = running(s, keys, "step", {"eligible_since": ("max", F.when(begins, F.col("step"))), "n_up_before": ("max", F.when(on_first, F.col("n_up") - up))})
-    s = running(s, keys, "step", {"t_lift": ("max", F.when((up == 1) & (F.col("n_up") - F.col("n_up_before") == 1), F.col("step")))})
-    fires = F.col("eligible") & (F.col("step") - F.col("eligible_since") >= delay)
-    hit = F.min(F.when(fires, F.struct("step", "t_grasp", "t_stable_grasp", "t_lift")))
-    return s.groupBy(*keys).agg(hit.alias("h")).select(*keys, F.col("h.step").alias("trigger_step"), "h.t_grasp", "h.t_stable_grasp", "h.t_lift")
+    s = rows.join(z0.hint("merge"), [*keys, "__seg"]).withColumns({"grasped": F.coalesce("grasped", F.lit(False)), "lifted": F.coalesce((rise >= min_lift) & ~F.isnan(rise), F.lit(False))})
+    m = Trigger(stable_steps, delay)
+    return fold_segments(s, keys, ["grasped", "lifted"], m.summarize, m.fold, "trigger_step int, t_grasp int, t_stable_grasp int, t_lift int")
 
 
-def detachments(steps: DataFrame, keys: Sequence[str], *, confirm: int = 3) -> DataFrame:
+def detachments(steps: DataFrame, keys: Sequence[str], *, confirm: int = 3, segment: int = SEGMENT) -> DataFrame:
     """Per entity: the first confirmed detachment.
 
     ``steps`` has step, pre_grasped, post_grasped. The first row of a run of
@@ -58,16 +41,9 @@ def detachments(steps: DataFrame, keys: Sequence[str], *, confirm: int = 3) -> D
     confirmed ``confirm`` rows into the run. A regrasp discards the candidate.
     """
     keys = list(keys)
-    s = steps.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("pre_grasped", "post_grasped")})
-    off = ~F.col("post_grasped")
-    s = running(s, keys, "step", {"idx": ("sum", F.lit(1)), "drops": ("sum", F.when(off & F.col("pre_grasped"), 1).otherwise(0))})
-    on = lambda c: F.when(F.col("post_grasped"), F.col(c))
-    s = running(s, keys, "step", {"off_since": ("max", on("idx")), "drops_before": ("max", on("drops"))})
-    s = s.fillna(0, ["off_since", "drops_before"])
-    first = off & F.col("pre_grasped") & (F.col("drops") - F.col("drops_before") == 1)
-    s = running(s, keys, "step", {"cand_idx": ("max", F.when(first, F.col("idx"))), "cand_step": ("max", F.when(first, F.col("step")))})
-    ok = off & (F.col("cand_idx") > F.col("off_since")) & (F.col("idx") - F.col("cand_idx") == confirm - 1)
-    return s.groupBy(*keys).agg(F.min(F.when(ok, F.struct("step", "cand_step"))).alias("h")).select(*keys, F.col("h.cand_step").alias("t_detach"), F.col("h.step").alias("t_detach_confirmed"))
+    rows = by_segment(steps.select(*keys, "step", (~F.coalesce("post_grasped", F.lit(False))).alias("off"), F.coalesce("pre_grasped", F.lit(False)).alias("pre")), keys, segment=segment)
+    m = Detach(confirm)
+    return fold_segments(rows, keys, ["off", "pre"], m.summarize, m.fold, "t_detach int, t_detach_confirmed int")
 
 
 def quota_summary(attempts: DataFrame, *, target_valid: int = 20, target_primary: int = 20) -> DataFrame:

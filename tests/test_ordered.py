@@ -81,6 +81,28 @@ def test_release_trigger_and_detachment(spark, episodes, monkeypatch):
     assert got == {e: detach(rows) for e, rows in episodes.items()}
 
 
+@pytest.mark.parametrize("segment", [1, 3, 7, 20])
+def test_machines_pass_through_segments(spark, segment):
+    """Long grasps and gaps, cut into segments shorter than what the machines wait for."""
+    r, eps = random.Random(segment), {}
+    for e in range(40):
+        g, up, rows = False, False, []
+        for step in range(70):
+            if r.random() < 0.1 and step:
+                continue
+            g = (not g) if r.random() < 0.12 else g
+            up = (not up) if r.random() < 0.12 else up
+            rows.append((step, g, 0.05 if up and step else 0.0))
+        eps[e] = rows
+    df, keys = frame(spark, eps), ["run_id", "episode_num"]
+    for stable, delay in ((3, 2), (1, 0), (5, 6)):
+        got = {x.episode_num: tuple(x)[2:] for x in control.release_triggers(df, keys, stable_steps=stable, delay=delay, segment=segment).collect()}
+        assert got == {e: simulate(rows, stable, 0.01, delay) for e, rows in eps.items()}
+    for k in (1, 3, 6):
+        got = {x.episode_num: tuple(x)[2:] for x in control.detachments(control.grasp_transitions(df, keys), keys, confirm=k, segment=segment).collect()}
+        assert got == {e: detach(rows, k) for e, rows in eps.items()}
+
+
 def test_streamed_trigger_equals_the_batch(spark, episodes, tmp_path):
     df = frame(spark, episodes)
     for i, (a, b) in enumerate(((0, 20), (20, 40), (40, 60))):
