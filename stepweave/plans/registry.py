@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from stepweave.plans import experiments, general, paired, scores, strict
+from stepweave.plans import experiments, general, paired, roundtrips, scores, strict
 
 FLAGSHIP = "cluster_top_features"
-QUERIES = general.QUERIES | scores.QUERIES | experiments.QUERIES | strict.QUERIES | paired.QUERIES
-ORACLE = general.ORACLE | scores.ORACLE | experiments.ORACLE | strict.ORACLE | paired.ORACLE
+QUERIES = general.QUERIES | scores.QUERIES | experiments.QUERIES | strict.QUERIES | paired.QUERIES | roundtrips.QUERIES
+ORACLE = general.ORACLE | scores.ORACLE | experiments.ORACLE | strict.ORACLE | paired.ORACLE | roundtrips.ORACLE

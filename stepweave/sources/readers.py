@@ -116,3 +116,60 @@ def first_video(files: DataFrame) -> DataFrame:
     """episode_num and the first path, in order, of the files named for it by either of two patterns."""
     n = F.coalesce(F.nullif(F.regexp_extract("path", r"episode=(\d+)--", 1), F.lit("")), F.nullif(F.regexp_extract("path", r"episode_(\d+)[^/]*\.mp4$", 1), F.lit("")))
     return files.withColumn("episode_num", n.cast("int")).filter(F.col("episode_num").isNotNull()).groupBy("episode_num").agg(F.min("path").alias("path"))
+
+
+def read_jsonl_numbered(spark: SparkSession, path: str, schema: str, *, blank_is_error: bool = False) -> DataFrame:
+    """Line-delimited JSON with ``file`` and ``line`` (from 1), and ``error``: ``blank_line``, ``broken``, or null.
+
+    A file is one row until it is cut into lines, so that lines can be numbered;
+    files of this form are records of single runs. Blank lines are left out, or errors.
+    """
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n", -1)).alias("i", "text"), F.size(F.split("value", "\r?\n", -1)).alias("n"))
+    t = t.filter(~((F.col("i") == F.col("n") - 1) & (F.col("text") == "")))  # after the last line's end
+    blank = F.trim("text") == ""
+    good = F.from_json("text", schema, {"mode": "PERMISSIVE"})
+    error = F.when(blank, "blank_line").when(F.try_parse_json("text").isNull() | good.isNull(), "broken")
+    rows = t.select("file", (F.col("i") + 1).alias("line"), blank.alias("blank"), error.alias("error"), good.alias("r"))
+    return (rows if blank_is_error else rows.filter(~F.col("blank"))).select("file", "line", "error", "r.*")
+
+
+def read_sparse_run(spark: SparkSession, folder: str, schema: str = schemas.TOPK) -> DataFrame:
+    """All rows of a run's sparse shards, in either layout: the manifest lies in the folder itself or in ``sae_activations/<part>``.
+
+    Shards are parquet files named by the manifest, relative to the manifest or
+    to the run; a shard that is missing fails, as does an unknown format.
+    """
+    found = inventory(spark, folder, glob="manifest.json").select("path").filter(F.col("path").rlike(r"(^|/)([^/]+/)?manifest\.json$"))
+    paths = sorted((r.path for r in found.limit(10_000).collect()), key=lambda p: (p.count("/"), p))  # one manifest a run
+    if not paths:
+        raise FileNotFoundError(f"no manifest below {folder}")
+    base = paths[0].rsplit("/", 1)[0]
+    names = [r.path for r in read_manifest(spark, paths[0]).select("path").collect()]  # the list of a run's files
+    have = {r.path for r in inventory(spark, folder, glob="*.parquet").select("path").collect()}
+    root = paths[0][: paths[0].index(folder.rstrip("/")) + len(folder.rstrip("/"))]
+    files = [next((c for c in (f"{base}/{n}", f"{root}/{n}") if c in have), None) or f"{base}/{n}" for n in names]
+    missing = [f for f in files if f not in have]
+    if missing:
+        raise FileNotFoundError(f"{len(missing)} shards are missing, the first is {missing[0]}")
+    return spark.read.schema(schema).parquet(*files)
+
+
+def npz_headers(spark: SparkSession, folder: str, *, glob: str = "*.npz") -> DataFrame:
+    """Like :func:`npz_shapes`, without reading array data: a task opens each file on the shared file system and reads its directory and headers only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zipfile
+        from urllib.parse import unquote, urlparse
+
+        for b in batches:
+            out = []
+            for path in b.column(0).to_pylist():
+                with zipfile.ZipFile(unquote(urlparse(path).path)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as f:
+                            version = np.lib.format.read_magic(f)
+                            shape = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)[0]
+                        out.append({"path": path, "array": re.sub(r"\.npy$", "", name), "shape": list(shape)})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("path", pa.string()), ("array", pa.string()), ("shape", pa.list_(pa.int64()))]))
+
+    return inventory(spark, folder, glob=glob).select("path").mapInArrow(run, "path string, array string, shape array<long>")
