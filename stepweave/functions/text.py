@@ -64,6 +64,15 @@ def parse_answer(text: Column) -> Column:
     return F.struct(phrase.alias("phrase"), phase.alias("phase"), error.alias("error"))
 
 
+# The classes of contacts that count as candidates for a collision, and the error codes of answers stand in the expressions here.
+COLLISIONS = ("robot_fixture_contact", "gripper_fixture_contact", "robot_object_contact", "robot_self_contact")
+
+
+def may_collide(contact: Column) -> Column:
+    """Is a contact of this class a candidate for a collision?"""
+    return contact.isin(*COLLISIONS)
+
+
 def contact_class(owners: Column) -> Column:
     """Class of a contact from the kinds (before the colon) of all owners of both sides; the first rule that fits holds."""
     kinds = F.array_distinct(F.transform(owners, lambda o: F.split_part(o, F.lit(":"), F.lit(1))))

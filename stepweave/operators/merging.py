@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from stepweave.operators.segments import global_rank
 
 
-def global_episode(task: Column, trial: Column, trials: int) -> Column:
-    """task * trials + trial + 1; null if the trial is out of range."""
-    return F.when((trial >= 0) & (trial < trials), task * trials + trial + 1)
+def global_episode(task: Column, trial: Column, trials: int, *, strict: bool = False) -> Column:
+    """task * trials + trial + 1; null, or an error, if task or trial is out of range."""
+    n = F.when((task >= 0) & (trial >= 0) & (trial < trials), task * trials + trial + 1)
+    return F.coalesce(n, F.raise_error(F.format_string("no episode of task %s and trial %s", task, trial)).cast("int")) if strict else n
 
 
 def rekey(records: DataFrame, runs: DataFrame, trials: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.functions.paths import normal_path
-from stepweave.functions.text import contact_class, label, number_tag, pair_id, pair_seed, sample_id
+from stepweave.functions.text import contact_class, label, may_collide, number_tag, pair_id, pair_seed, sample_id
 from stepweave.functions.vectors import angular_velocity, max_abs_delta, norm, replace_last
 from stepweave.operators import activations as act
 from stepweave.operators import constraints as con
@@ -232,11 +232,13 @@ def forced_actions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contact_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Contacts by the kinds of their owners."""
-    b = nested.flatten_snapshots(table(spark, d, "telemetry_snapshots")).filter("child_kind = 'contact_owner'")
-    o = b.select("snapshot_id", "parent_key", F.regexp_replace("content", '^"|"$', "").alias("owner")).distinct()
+    """Contacts by the kinds of their owners. What an owner is stands in its node, where it stands in the bridge."""
+    nodes, bridge = nested.tables(table(spark, d, "telemetry_snapshots"))
+    named = nodes.filter("kind = 'contact_owner'").select("salt", F.col("node_hash").alias("child_hash"), F.regexp_replace("content", '^"|"$', "").alias("owner"))
+    o = bridge.join(named, ["salt", "child_hash"]).select("snapshot_id", "parent_key", "owner").distinct()
     c = o.groupBy("snapshot_id", "parent_key").agg(F.collect_set("owner").alias("owners"))  # the owners of one contact
-    return c.select(contact_class(F.col("owners")).alias("semantic_class")).groupBy("semantic_class").agg(F.count(F.lit(1)).alias("contacts"))
+    k = contact_class(F.col("owners"))
+    return c.select(k.alias("semantic_class"), may_collide(k).alias("collision_candidate")).groupBy("semantic_class", "collision_candidate").agg(F.count(F.lit(1)).alias("contacts"))
 
 
 def _violations(name: str, rules: tuple[con.Constraint, ...]):

@@ -26,8 +26,19 @@ def acts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("episode"), ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("step"), (F.col("l_partkey") % 64).cast("long").alias("feature"), F.col("l_quantity").cast("double").alias("value"))
 
 
+_known: dict[tuple[str, str], int] = {}
+
+
+def _episodes(spark: SparkSession, d: str) -> int:
+    """Distinct episodes of the activations, counted once for an application and folder."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _known:
+        _known[key] = table(spark, d, "lineitem").agg(F.count_distinct("l_suppkey")).first()[0]
+    return _known[key]
+
+
 def events(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "lineitem").agg(F.count_distinct("l_suppkey")).first()[0]
+    n = _episodes(spark, d)
     e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("sample"), (F.col("vec_id") % n).cast("long").alias("episode"), (1 + (F.col("vec_id") * 7) % 81).cast("int").alias("waypoint_step"), F.lit(83).alias("num_steps"), "label", "embedding")
     e = e.withColumn("task", (F.col("episode") % 10).cast("int"))
     return e.withColumns({"cluster": F.concat(F.lit("t"), F.col("task"), F.lit("_c"), F.col("label") % 3), "progress": F.col("waypoint_step") / F.greatest(F.col("num_steps") - 1, F.lit(1))})

@@ -166,3 +166,12 @@ def test_linkage_separates_and_ignores_order():
     labels = average_linkage(v, 0.18)
     assert [len(set(labels[i : i + 6])) for i in (0, 6, 12)] == [1, 1, 1] and len(set(labels)) == 3
     assert len(set(average_linkage(v[r.permutation(18)], 0.18))) == 3 and len(set(average_linkage(v, 2.1))) == 1
+
+
+def test_global_episodes(spark):
+    df = spark.createDataFrame([(2, 3), (2, 50), (-1, 3), (None, 1)], "t int, e int")
+    g = lambda **kw: merging.global_episode(F.col("t"), F.col("e"), 50, **kw)
+    assert [r.n for r in df.select(g().alias("n")).collect()] == [104, None, None, None]
+    assert df.filter("e = 3 and t > 0").select(g(strict=True).alias("n")).first().n == 104
+    with pytest.raises(Exception, match="no episode"):
+        df.select(g(strict=True)).collect()
