@@ -69,6 +69,13 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero as DuckDB does it: the product with 10 ** digits decides, not the decimal digits that Spark's round
+    looks at, so 2.0652595 gives 2.065259. NaN, infinities and values whose product is infinite stay; a zero has no sign."""
+    scaled = x * (10.0**digits)
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / (10.0**digits)).otherwise(x)
+
+
 def quat_multiply(a: Column, b: Column) -> Column:
     """Product of quaternions (x, y, z, w)."""
     x1, y1, z1, w1 = (a[i] for i in range(4))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import actions as fa
 from stepweave.functions.paths import normal_path
-from stepweave.functions.vectors import rank_in
+from stepweave.functions.vectors import rank_in, round_binary
 from stepweave.operators import activations as act
 from stepweave.operators import merging as mg
 from stepweave.operators import scoring as sc
@@ -182,7 +182,7 @@ def row_metadata(spark: SparkSession, d: str) -> DataFrame:
 def chunk_actions(spark: SparkSession, d: str) -> DataFrame:
     """The first three entries of each chunk with their offset."""
     r = table(spark, d, "replay_reference").filter("qvel is not null").select("pair_id", "sample_step", "qvel").distinct()
-    return r.select("pair_id", "sample_step", F.explode(fa.chunk(F.col("qvel"), 3)).alias("c")).select("pair_id", "sample_step", F.col("c.offset").alias("step_offset"), F.round("c.action", 6).alias("action"))
+    return r.select("pair_id", "sample_step", F.explode(fa.chunk(F.col("qvel"), 3)).alias("c")).select("pair_id", "sample_step", F.col("c.offset").alias("step_offset"), round_binary(F.col("c.action"), 6).alias("action"))
 
 
 @query("SELECT vec_id, round(2 * x - 1, 5) AS scaled, CAST(sign(2 * x - 1) AS DOUBLE) AS signed, CAST(-sign(2 * x - 1) AS DOUBLE) AS executed, -1.0::DOUBLE AS forced, CAST(n AS INTEGER) AS n FROM (SELECT vec_id, CAST(embedding[-1] AS DOUBLE) AS x, len(embedding) AS n FROM embeddings)")
